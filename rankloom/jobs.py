@@ -146,20 +146,23 @@ def compiled(job: JobSpec) -> dict:
     }
 
 
-def typed_literal(value, dtype: T.DataType) -> Column:
-    """Nested Python value as a literal of exactly the given type."""
+def literal_sql(value, dtype: T.DataType) -> str:
+    """Nested Python value as the SQL text of a literal of exactly the given type."""
     if value is None:
-        return F.lit(None).cast(dtype)
+        return f"CAST(NULL AS {dtype.simpleString()})"
     if isinstance(dtype, T.ArrayType):
-        return F.array(*[typed_literal(v, dtype.elementType) for v in value]).cast(dtype)
+        items = ", ".join(literal_sql(v, dtype.elementType) for v in value)
+        return f"CAST(array({items}) AS {dtype.simpleString()})"
     if isinstance(dtype, T.StructType):
-        return F.struct(*[typed_literal(value[f.name], f.dataType).alias(f.name) for f in dtype])
-    return F.lit(value).cast(dtype)
+        return "named_struct(" + ", ".join(f"'{f.name}', {literal_sql(value[f.name], f.dataType)}" for f in dtype) + ")"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({value} AS {dtype.simpleString()})"
 
 
 def job_literal(job: JobSpec) -> Column:
-    """One job as a struct literal."""
-    return typed_literal(compiled(job), T.DataType.fromDDL(COMPILED))
+    """One job as a struct literal, parsed once instead of built call by call."""
+    return F.expr(literal_sql(compiled(job), T.DataType.fromDDL(COMPILED)))
 
 
 def job_batches(jobs: list[JobSpec]) -> list[list[JobSpec]]:

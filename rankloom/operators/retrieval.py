@@ -128,13 +128,15 @@ def retrieve(
     *,
     row_id: str,
     query_id: str = "query_id",
+    digits: int | None = None,
     fan_in: int = topk.FAN_IN,
 ) -> DataFrame:
     """Best ``k`` rows per query by exact inner product; ties by ``row_id``.
 
     Each Arrow batch is one matrix product against all queries of the pass and gives
     up only its own best ``k`` rows per query, which cannot lose a row of the global
-    best ``k``.  The pruned rows then go through the distributed top-K.
+    best ``k``.  The pruned rows then go through the distributed top-K.  ``digits``
+    rounds the scores first, so that single-precision noise cannot order equal rows.
     """
     id_type = df.schema[row_id].dataType
     keyed = df.select(F.col(row_id), vector.alias("_vec")).where(F.col("_vec").isNotNull())
@@ -150,6 +152,8 @@ def retrieve(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 scores = np.stack(pdf["_vec"].to_numpy()).astype("float64") @ matrix
+                if digits is not None:
+                    scores = np.round(scores, digits)
                 rows = pdf[row_id].to_numpy()
                 for j, query in enumerate(ids):
                     column = scores[:, j]

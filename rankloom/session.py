@@ -14,6 +14,8 @@ SETTINGS = {
     # per-group top-K is pruned before the shuffle up to this K
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.session.timeZone": "UTC",
+    # plans here are built from many small expressions; call-site capture costs more than they do
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # records are a few KB each: keep Arrow batches of vectors and texts moderate
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",

@@ -15,7 +15,11 @@ def write_ranked_csv(export: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+def write_frame_jobs(jobs: DataFrame, path: str) -> None:
+    """Structured jobs of a table as JSON documents, one file per job."""
+    jobs.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path, ignoreNullFields=False)
+
+
 def write_jobs(spark: SparkSession, jobs: list[JobSpec], path: str) -> None:
-    """Structured jobs as JSON lines, ready for ``readers.read_jobs``."""
-    rows = spark.createDataFrame([j.as_dict() for j in jobs], JOB_SCHEMA)
-    rows.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+    """Structured jobs as JSON documents for ``readers.read_jobs``."""
+    write_frame_jobs(spark.createDataFrame([j.as_dict() for j in jobs], JOB_SCHEMA), path)
