@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.numeric import number_from_text
+from rankloom.functions.numeric import number_from_text, once
 from rankloom.functions.text import collapse_spaces, strip
 
 # String (with an optional ':' that makes it a key), number, word, empty container.
-# The possessive quantifier keeps very long strings off the matcher's stack.
+# The possessive quantifiers keep very long strings off the matcher's stack.
 _LEXEMES = (
-    r'"(?:[^"\\]|\\.)*+"\s*:?|-?\d[0-9.eE+\-]*|true|false|null|\[\s*\]|\{\s*\}'
+    r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?|-?\d[0-9.eE+\-]*|true|false|null|\[\s*\]|\{\s*\}'
 )
 
 
@@ -37,7 +37,7 @@ def json_leaves(raw: Column) -> Column:
     return F.transform(
         values,
         lambda x: F.when(x.startswith('"'), collapse_spaces(unquote(x)))
-        .when(x.rlike(r"^(null|[\[{])"), F.lit(""))
+        .when(x.startswith("n") | x.startswith("[") | x.startswith("{"), F.lit(""))
         .when(x == "true", F.lit("True"))
         .when(x == "false", F.lit("False"))
         .otherwise(x),
@@ -90,6 +90,22 @@ def resolve_paths(value: Column, paths: list[str]) -> Column:
     return F.filter(found, lambda x: x.isNotNull() & ~F.to_json(x).isin("null", '""', "[]", "{}"))
 
 
+def paths_text(value: Column, paths: list[str]) -> Column:
+    """Searchable text of everything at the paths; empty values leave only spaces."""
+    if not paths:
+        return F.lit("")
+    return F.trim(json_text(F.to_json(F.concat(*[path_values(value, p) for p in paths]))))
+
+
+def first_scalar(value: Column, paths: list[str]) -> Column:
+    """First string or number over the paths; later paths are only read if needed."""
+    found = [
+        F.get(F.filter(F.transform(path_values(value, p), variant_scalar), lambda s: s.isNotNull()), F.lit(0))
+        for p in paths
+    ]
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
 def resolved_text(values: Column) -> Column:
     """Searchable text of resolved values."""
     return F.when(F.size(values) > 0, json_text(F.to_json(values))).otherwise(F.lit(""))
@@ -102,21 +118,23 @@ def variant_number(value: Column) -> Column:
 
 def variant_truthy(value: Column) -> Column:
     """Any value other than null, false, zero or an empty string or container."""
-    js = F.to_json(value)
-    return F.coalesce(
-        ~js.rlike(r'^(?:null|false|""|\[\]|\{\}|-?0(?:\.0+)?(?:[eE].*)?)$'), F.lit(False)
+    return once(
+        F.to_json(value),
+        lambda js: F.when(js == "true", F.lit(True))
+        .when(js.isNull() | js.isin("null", "false", '""', "[]", "{}"), F.lit(False))
+        .otherwise(~js.rlike(r"^-?0(?:\.0+)?(?:[eE].*)?$")),
     )
 
 
 def variant_scalar(value: Column) -> Column:
     """Trimmed string, or the text of a number or boolean; null for anything else."""
-    js = F.to_json(value)
-    text = (
-        F.when(js.startswith('"'), strip(F.try_variant_get(value, "$", "string")))
+    text = once(
+        F.to_json(value),
+        lambda js: F.when(js.startswith('"'), strip(F.try_variant_get(value, "$", "string")))
         .when(js == "true", F.lit("True"))
         .when(js == "false", F.lit("False"))
-        .when(js.rlike(r"^[\[{n]"), F.lit(None).cast("string"))
-        .otherwise(js)
+        .when(js.startswith("[") | js.startswith("{") | js.startswith("n"), F.lit(None).cast("string"))
+        .otherwise(js),
     )
     return F.nullif(text, F.lit(""))
 

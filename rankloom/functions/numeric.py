@@ -13,9 +13,20 @@ _NUMBER_PATTERN = (
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def once(value: Column, use) -> Column:
+    """Evaluate ``value`` a single time and use it several times.
+
+    Lambda bodies are interpreted without common-subexpression elimination, so a value
+    that an expression mentions n times would be computed n times per element.  The
+    same holds for a column used inside a lambda: when Catalyst merges projections it
+    moves the column's expression into the lambda body, unless it is bound like this.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clamp(value: Column) -> Column:
-    """Limit to [0, 1]; null stays null."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
+    """Limit to [0, 1]; null counts as 0."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 
 def soft_cap(value: Column, scale: float) -> Column:
@@ -32,12 +43,18 @@ def array_total(values: Column) -> Column:
 
 def array_mean(values: Column) -> Column:
     """Plain mean; null for an empty array."""
-    return F.when(F.size(values) > 0, array_total(values) / F.size(values))
+    return once(values, lambda v: F.when(F.size(v) > 0, array_total(v) / F.size(v)))
+
+
+def mean_of_best(values: Column, n: int) -> Column:
+    """Mean of the ``n`` largest values of a non-empty array."""
+    best = F.slice(F.sort_array(values, asc=False), 1, n)
+    return once(best, lambda v: array_total(v) / F.size(v))
 
 
 def mean_score(values: Column) -> Column:
     """Mean limited to [0, 1]; 0 for an empty array."""
-    return F.coalesce(clamp(array_mean(values)), F.lit(0.0))
+    return clamp(array_mean(values))
 
 
 def semantic_rescale(raw: Column) -> Column:
@@ -52,11 +69,13 @@ def number_from_text(text: Column) -> Column:
     single underscores, ``inf`` and ``nan``; refuses type suffixes such as ``5d``,
     booleans and containers.
     """
-    trimmed = F.regexp_replace(text, _EDGE_SPACE, "")
-    return F.when(
-        trimmed.rlike(_NUMBER_PATTERN),
-        F.regexp_replace(trimmed, "_", "").try_cast("double"),
-    )
+    def careful(raw: Column) -> Column:
+        return once(
+            F.regexp_replace(raw, _EDGE_SPACE, ""),
+            lambda t: F.when(t.rlike(_NUMBER_PATTERN), F.regexp_replace(t, "_", "").try_cast("double")),
+        )
+
+    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), text.try_cast("double")).otherwise(careful(text))
 
 
 def non_zero_or(value: Column, default: float) -> Column:

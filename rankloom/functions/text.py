@@ -10,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rankloom import constants as C
-from rankloom.functions.numeric import array_mean, clamp
+from rankloom.functions.numeric import clamp, mean_of_best, once
 
-SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# all white space of Unicode text, with and without the plain space
+_ODD_SPACE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE_RUN = f"[ {_ODD_SPACE}]+"
 
 
 def words(values: list[str]) -> Column:
@@ -21,8 +23,12 @@ def words(values: list[str]) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    """White-space runs become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
+    """White-space runs become one space; the ends are trimmed.
+
+    Most values have nothing to collapse, and a look is cheaper than a rewrite.
+    """
+    untidy = text.rlike(f"  |[{_ODD_SPACE}]")
+    return F.trim(F.when(untidy, F.regexp_replace(text, SPACE_RUN, " ")).otherwise(text))
 
 
 def tokens(text: Column) -> Column:
@@ -49,8 +55,13 @@ def coverage(term_tokens: Column, text_tokens: Column) -> Column:
 def clean_terms(terms: Column) -> Column:
     """Collapse spaces, drop blanks, keep the first of case-insensitive duplicates."""
     tidy = F.filter(F.transform(terms, collapse_spaces), lambda t: t != "")
-    keys = F.transform(tidy, F.lower)
-    return F.filter(tidy, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1)
+    keyed = F.transform(tidy, lambda t: F.struct(t.alias("term"), F.lower(t).alias("key")))
+
+    def firsts(items: Column) -> Column:
+        keys = F.transform(items, lambda x: x["key"])
+        return once(keys, lambda k: F.filter(items, lambda x, i: F.array_position(k, x["key"]) == i + 1))
+
+    return F.transform(once(keyed, firsts), lambda x: x["term"])
 
 
 def term_is_present(lowered_text: Column, text_tokens: Column, lowered: Column, term_tokens: Column) -> Column:
@@ -60,29 +71,43 @@ def term_is_present(lowered_text: Column, text_tokens: Column, lowered: Column,
     )
 
 
+def present_terms(lowered_text: Column, text_tokens: Column, terms: Column) -> Column:
+    """Terms (structs with ``lowered`` and ``words``) that the text mentions."""
+    text = F.struct(lowered_text.alias("low"), text_tokens.alias("tokens"))
+    return once(
+        text,
+        lambda x: F.filter(
+            terms, lambda t: term_is_present(x["low"], x["tokens"], t["lowered"], t["words"])
+        ),
+    )
+
+
 def keyword_density(text_tokens: Column, terms: Column) -> Column:
     """Depth and breadth of a list of terms (``array<array<string>>``) in a token set.
 
     Depth is the mean of the best six positive term scores, breadth the share of
     terms with any hit.  Terms must be non-empty token arrays.
     """
-    scores = F.transform(
-        terms, lambda t: F.least(F.lit(1.0), F.pow(coverage(t, text_tokens), F.lit(1.2)))
-    )
-    positive = F.filter(scores, lambda s: s > 0)
-    depth = array_mean(F.slice(F.sort_array(positive, asc=False), 1, 6))
-    breadth = F.size(positive) / F.size(scores)
-    return F.coalesce(
-        F.when(
-            F.size(positive) > 0, clamp(0.62 * depth + 0.38 * F.pow(breadth, F.lit(0.7)))
-        ),
-        F.lit(0.0),
-    )
+
+    def scores(found: Column) -> Column:
+        return F.transform(
+            terms, lambda t: F.least(F.lit(1.0), F.pow(coverage(t, found), F.lit(1.2)))
+        )
+
+    def combined(hits: Column) -> Column:
+        spread = F.pow(F.size(hits) / F.size(terms), F.lit(0.7))
+        return F.when(
+            F.size(hits) > 0, clamp(0.62 * mean_of_best(hits, 6) + 0.38 * spread)
+        ).otherwise(F.lit(0.0))
+
+    positive = once(text_tokens, lambda found: F.filter(scores(found), lambda s: s > 0))
+    return F.coalesce(once(positive, combined), F.lit(0.0))
 
 
 def metric_mentions(lowered_text: Column) -> Column:
     """How many measured claims ("40 ms", "3k", "200 users") the text makes."""
-    return F.regexp_count(lowered_text, F.lit("(?U)" + C.METRIC_PATTERN))
+    # the look-ahead rejects non-digits before the costlier word boundary is tested
+    return F.regexp_count(lowered_text, F.lit(r"(?U)(?=\d)" + C.METRIC_PATTERN))
 
 
 def occurrences(lowered_text: Column, word: str) -> Column:
@@ -97,7 +122,7 @@ def mentions_any(text: Column, needles: list[str]) -> Column:
 
 def skill_label(skill: Column) -> Column:
     """Skill without one leading praise word."""
-    return F.regexp_replace(_strip(skill), "(?iU)" + C.SKILL_PREFIX_PATTERN, "")
+    return F.regexp_replace(strip(skill), "(?iU)" + C.SKILL_PREFIX_PATTERN, "")
 
 
 def canonical_skill(skill: Column) -> Column:
@@ -114,10 +139,10 @@ def is_ai_skill(name: Column) -> Column:
 
 def strip_code_fence(content: Column) -> Column:
     """Drop a leading fence line and, if there was one, a trailing fence line."""
-    body = _strip(content)
+    body = strip(content)
     opened = F.regexp_replace(body, r"^```[^\n]*(?:\n|$)", "")
     closed = F.regexp_replace(opened, r"(?:^|\n)```[^\n]*$", "")
-    return F.when(body.startswith("```"), _strip(closed)).otherwise(body)
+    return F.when(body.startswith("```"), strip(closed)).otherwise(body)
 
 
 def truncate_text(text: Column, n_chars: int = C.JOB_TEXT_CHARS) -> Column:
@@ -125,11 +150,9 @@ def truncate_text(text: Column, n_chars: int = C.JOB_TEXT_CHARS) -> Column:
     return F.substring(text, 1, n_chars)
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-
-
-strip = _strip
+def strip(text: Column) -> Column:
+    """Text without white space at the ends."""
+    return F.regexp_replace(text, f"^{SPACE_RUN}|{SPACE_RUN}$", "")
 
 
 def join_titles(title: Column, headline: Column) -> Column:

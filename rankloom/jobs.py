@@ -21,7 +21,8 @@ COMPILED = (
     "lexical:array<array<string>>,role:array<string>,production:array<array<string>>,"
     "education:array<array<string>>,has_education:boolean,"
     "locations:array<array<string>>,has_locations:boolean,"
-    "level:string,seniority:array<array<string>>,min_years:double,vocabulary:array<string>>"
+    "level:string,seniority:array<array<string>>,min_years:double,vocabulary:array<string>,"
+    "skill_words:array<string>>"
 )
 MAX_LITERAL_BYTES = 4 * 1024 * 1024
 
@@ -142,7 +143,9 @@ def compiled(job: JobSpec) -> dict:
         "level": _level(level),
         "seniority": _density_terms([level]),
         "min_years": None if job.experience_years_min is None else float(job.experience_years_min),
+        # every token that is looked for in the full text, and in skill names
         "vocabulary": _distinct([w for group in nested for w in group] + role),
+        "skill_words": _distinct(w for t in required + preferred for w in t["focus"]),
     }
 
 

@@ -20,8 +20,10 @@ from rankloom.functions import text as X
 from rankloom.functions.numeric import (
     array_mean,
     clamp,
+    mean_of_best,
     mean_score,
     non_zero_or,
+    once,
     semantic_rescale,
     soft_cap,
 )
@@ -54,21 +56,43 @@ def term_match(term: Column, lowered: Column, hits: Column, skills: Column) -> C
     bonus = F.when(F.contains(lowered, term["lowered"]), F.lit(0.16)).otherwise(F.lit(0.0))
     from_text = F.least(F.lit(1.0), F.pow(X.coverage(focus, hits), F.lit(1.35)) + bonus)
 
-    def better(best: Column, skill: Column) -> Column:
+    def found(skill: Column) -> Column:
+        # F1 of two token sets is twice the shared tokens over the sum of both sizes
         shared = F.size(F.array_intersect(focus, skill["focus"]))
-        precision, recall = shared / F.size(skill["focus"]), shared / F.size(focus)
-        f1 = 2 * precision * recall / (precision + recall)
-        found = F.least(F.lit(1.0), f1 * (0.78 + 0.22 * skill["evidence"]))
-        return F.greatest(best, F.when(shared > 0, found).otherwise(F.lit(0.0)))
+        f1 = 2.0 * shared / (F.size(focus) + F.size(skill["focus"]))
+        return F.least(F.lit(1.0), f1 * (0.78 + 0.22 * skill["evidence"]))
 
-    from_skills = F.aggregate(skills, F.lit(0.0), better)
+    from_skills = F.coalesce(F.array_max(F.transform(skills, found)), F.lit(0.0))
     return F.when(F.size(focus) > 0, clamp(F.greatest(from_text, from_skills))).otherwise(F.lit(0.0))
 
 
+def near_skills(skills: Column, evidence: Column, wanted: Column) -> Column:
+    """Focus tokens and evidence of the skills that can share a token with the job.
+
+    A shared token is also a substring of the name, so names without any wanted word
+    as a substring are dropped before they are tokenised.
+    """
+
+    def within(context: Column) -> Column:
+        names = F.zip_with(
+            skills,
+            context["evidence"],
+            lambda s, e: F.struct(F.lower(F.coalesce(s["name"], F.lit(""))).alias("name"), e.alias("evidence")),
+        )
+        close = F.filter(names, lambda n: F.exists(context["wanted"], lambda w: F.contains(n["name"], w)))
+        return F.transform(
+            close,
+            lambda n: F.struct(
+                X.signal_tokens(X.tokens(n["name"]), drop_generic=True).alias("focus"), n["evidence"]
+            ),
+        )
+
+    return once(F.struct(evidence.alias("evidence"), wanted.alias("wanted")), within)
+
+
 def skill_depth_of_records(evidence: Column) -> Column:
     """Depth of a non-empty list of evidence values."""
-    best = array_mean(F.slice(F.sort_array(evidence, asc=False), 1, 6))
-    return clamp(0.58 * best + 0.42 * soft_cap(F.size(evidence), 14.0))
+    return clamp(0.58 * mean_of_best(evidence, 6) + 0.42 * soft_cap(F.size(evidence), 14.0))
 
 
 # ---------------------------------------------------------------------------
@@ -77,23 +101,12 @@ def skill_depth_of_records(evidence: Column) -> Column:
 
 
 def add_tokens(df: DataFrame) -> DataFrame:
-    """Token set, lower-cased text, skill tokens with evidence, years."""
-    skills = F.transform(
-        "skills",
-        lambda s: F.struct(
-            X.signal_tokens(X.tokens(F.coalesce(s["name"], F.lit(""))), drop_generic=True).alias("focus"),
-            skill_evidence(s).alias("evidence"),
-        ),
-    )
-    years = F.coalesce(
-        F.col("profile_years"), F.col("path_years"), F.col("total_months") / 12.0, F.lit(0.0)
-    )
+    """Token set, lower-cased text and the evidence behind each skill."""
     return df.select(
         "*",
         X.tokens(F.col("text")).alias("tokens"),
         F.lower("text").alias("lowered"),
-        skills.alias("skill_tokens"),
-        years.alias("years"),
+        F.transform("skills", skill_evidence).alias("evidence"),
         X.tokens(F.col("location_text")).alias("location_tokens"),
         F.trim("location_text").alias("_location"),
         X.tokens(F.col("education_text")).alias("education_tokens"),
@@ -257,13 +270,13 @@ def add_features(df: DataFrame) -> DataFrame:
     jd = F.col("jd")
     c = {name: F.col(name) for name in df.columns}
     hits = F.array_intersect(jd["vocabulary"], c["tokens"])
-    near = F.filter(
-        "skill_tokens",
-        lambda s: F.arrays_overlap(s["focus"], jd["vocabulary"]),
-    )
-    df = df.select("*", hits.alias("hits"), near.alias("near_skills"), F.transform("skill_tokens", lambda s: s["evidence"]).alias("evidence"))
+    near = near_skills(c["skills"], c["evidence"], jd["skill_words"])
+    df = df.select("*", hits.alias("hits"), near.alias("near_skills"))
     hits = F.col("hits")
-    match = lambda t: term_match(t, c["lowered"], hits, F.col("near_skills"))
+    record = F.struct(c["lowered"].alias("low"), hits.alias("hits"), F.col("near_skills").alias("skills"))
+    match = lambda terms: once(
+        record, lambda r: F.transform(terms, lambda t: term_match(t, r["low"], r["hits"], r["skills"]))
+    )
     relevance = X.keyword_density(hits, jd["lexical"])
     location_tokens = F.when(c["_location"] != "", c["location_tokens"]).otherwise(c["tokens"])
     flags = integrity_flags(
@@ -271,12 +284,9 @@ def add_features(df: DataFrame) -> DataFrame:
     )
     df = df.select(
         "*",
-        F.transform(jd["required"], match).alias("required_scores"),
-        F.transform(jd["preferred"], match).alias("preferred_scores"),
-        F.filter(
-            F.concat(jd["required"], jd["preferred"]),
-            lambda t: X.term_is_present(c["lowered"], hits, t["lowered"], t["words"]),
-        ).alias("present_terms"),
+        match(jd["required"]).alias("required_scores"),
+        match(jd["preferred"]).alias("preferred_scores"),
+        X.present_terms(c["lowered"], hits, F.concat(jd["required"], jd["preferred"])).alias("present_terms"),
         relevance.alias("lexical_relevance"),
         role_fit(jd, c["role_tokens"], hits).alias("role_fit"),
         experience_score(c["years"], jd["min_years"]).alias("experience_score"),
@@ -400,7 +410,7 @@ def add_details(df: DataFrame) -> DataFrame:
     scores = F.concat("required_scores", "preferred_scores")
 
     def pick(items: Column, values: Column, keep) -> Column:
-        chosen = F.filter(items, lambda t, i: keep(F.get(values, i)))
+        chosen = once(values, lambda v: F.filter(items, lambda t, i: keep(F.get(v, i))))
         return F.transform(chosen, lambda t: t["term"])
 
     df = df.select(

@@ -3,7 +3,7 @@
 Both adapters give the same columns, so every feature is written once:
 
 ``candidate_id, display_name, text, skills, listed_skills, title, headline,
-reason_title, reason_location, role_text, profile_years, path_years, total_months, history,
+reason_title, reason_location, role_text, profile_years, years, history,
 education_text, education_count, location_text, experience_text, has_profile,
 signals, signal_keys, availability_found``
 """
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from rankloom import constants as C
 from rankloom.functions import json_text as J
-from rankloom.functions.numeric import array_total, number_from_text
+from rankloom.functions.numeric import array_total, number_from_text, once
 from rankloom.functions.text import collapse_spaces, strip
 from rankloom.operators.schema_map import SchemaMap
 
@@ -24,7 +24,7 @@ SKILL = "struct<name:string,proficiency:string,duration_months:double,endorsemen
 HISTORY = "struct<title:string,duration_months:double,is_current:boolean>"
 PROFILE_COLUMNS = (
     "candidate_id display_name text skills listed_skills title headline reason_title reason_location role_text "
-    "profile_years path_years total_months history education_text education_count location_text "
+    "profile_years years history education_text education_count location_text "
     "experience_text has_profile signals signal_keys availability_found"
 ).split()
 DEFAULT_SIGNALS_FIELD = "signals"
@@ -47,7 +47,7 @@ def _in_human_range(values: Column) -> Column:
 def months_total(numbers: Column) -> Column:
     """Sum of the non-negative numbers, null when there is none."""
     valid = F.filter(numbers, lambda n: n >= 0.0)
-    return F.when(F.size(valid) > 0, array_total(valid))
+    return once(valid, lambda v: F.when(F.size(v) > 0, array_total(v)))
 
 
 def deep_duration_months(raw: Column) -> Column:
@@ -71,20 +71,43 @@ def parse_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     return df.withColumn("v", F.try_parse_json(raw))
 
 
+_RAW_SKILL = "struct<name:string,proficiency:string,duration_months:string,endorsements:string>"
+_DOUBTFUL = ("", "0", "0.0", "-0", "-0.0", "false", "[]", "{}")
+
+
+def _said(text: Column, item: Column, name: str) -> Column:
+    """Text of an object's field, null where the field is falsy.
+
+    The text alone decides in almost every case; only for texts that may come from a
+    falsy value is the typed value looked at.
+    """
+    typed = J.variant_truthy(F.try_variant_get(item, f"$.{name}", "variant"))
+    return F.when(text.isin(*_DOUBTFUL), F.when(typed, text)).otherwise(text)
+
+
 def variant_skill(item: Column) -> Column:
     """A skill list item as a typed struct with its kind: object, text or other."""
-    js = F.to_json(item)
-    name = F.try_variant_get(item, "$.name", "variant")
-    proficiency = F.try_variant_get(item, "$.proficiency", "variant")
-    is_text, is_object = js.startswith('"'), js.startswith("{")
-    return F.struct(
-        F.when(is_text, F.lit("text")).when(is_object, F.lit("object")).otherwise(F.lit("other")).alias("kind"),
-        F.when(is_text, F.try_variant_get(item, "$", "string"))
-        .when(is_object & J.variant_truthy(name), F.try_variant_get(name, "$", "string"))
-        .alias("name"),
-        F.when(J.variant_truthy(proficiency), F.try_variant_get(proficiency, "$", "string")).alias("proficiency"),
-        J.variant_number(F.try_variant_get(item, "$.duration_months", "variant")).alias("duration_months"),
-        J.variant_number(F.try_variant_get(item, "$.endorsements", "variant")).alias("endorsements"),
+
+    def of_object(raw: Column) -> Column:
+        return F.struct(
+            F.lit("object").alias("kind"),
+            _said(raw["name"], item, "name").alias("name"),
+            _said(raw["proficiency"], item, "proficiency").alias("proficiency"),
+            number_from_text(raw["duration_months"]).alias("duration_months"),
+            number_from_text(raw["endorsements"]).alias("endorsements"),
+        )
+
+    is_text = F.to_json(item).startswith('"')
+    bare = F.struct(
+        F.when(is_text, F.lit("text")).otherwise(F.lit("other")).alias("kind"),
+        F.when(is_text, F.try_variant_get(item, "$", "string")).alias("name"),
+        _none("string").alias("proficiency"),
+        _none("double").alias("duration_months"),
+        _none("double").alias("endorsements"),
+    )
+    return once(
+        F.try_variant_get(item, "$", _RAW_SKILL),
+        lambda raw: F.when(raw.isNotNull(), of_object(raw)).otherwise(bare),
     )
 
 
@@ -100,42 +123,46 @@ def named_skills(items: Column) -> Column:
 
 
 def variant_history(value: Column) -> Column:
+    raw_job = "struct<title:string,duration_months:string,is_current:variant>"
+
+    def job(item: Column) -> Column:
+        return once(
+            F.try_variant_get(item, "$", raw_job),
+            lambda r: F.struct(
+                F.coalesce(_said(r["title"], item, "title"), F.lit("")).alias("title"),
+                number_from_text(r["duration_months"]).alias("duration_months"),
+                J.variant_truthy(r["is_current"]).alias("is_current"),
+            ),
+        )
+
     items = F.try_variant_get(value, "$.career_history", "array<variant>")
-    return F.transform(
-        items,
-        lambda i: F.struct(
-            J.variant_string_or(F.try_variant_get(i, "$.title", "variant")).alias("title"),
-            J.variant_number(F.try_variant_get(i, "$.duration_months", "variant")).alias("duration_months"),
-            J.variant_truthy(F.try_variant_get(i, "$.is_current", "variant")).alias("is_current"),
-        ),
-    ).cast(f"array<{HISTORY}>")
+    return F.transform(items, job).cast(f"array<{HISTORY}>")
 
 
 def variant_signals(signals: Column) -> Column:
-    """Engagement signals of a ``map<string,variant>`` as one typed struct."""
-    numbers = [J.variant_number(signals.getItem(n)).alias(k) for k, n in C.SIGNAL_NUMBERS.items()]
-    flags = [J.variant_truthy(signals.getItem(n)).alias(k) for k, n in C.SIGNAL_FLAGS.items()]
-    scores = F.map_values(
-        F.try_variant_get(signals.getItem(C.SIGNAL_ASSESSMENTS), "$", "map<string,variant>")
-    )
-    return F.when(
-        signals.isNotNull(),
-        F.struct(
-            *numbers,
-            *flags,
-            strip(J.variant_string_or(signals.getItem(C.SIGNAL_WORK_MODE))).alias("work_mode"),
+    """Engagement signals of an object variant as one typed struct; null for other values."""
+    fields = [f"{n}:string" for n in C.SIGNAL_NUMBERS.values()] + [f"{n}:variant" for n in C.SIGNAL_FLAGS.values()]
+    shape = f"struct<{','.join(fields)},{C.SIGNAL_WORK_MODE}:string,{C.SIGNAL_ASSESSMENTS}:variant>"
+
+    def typed(r: Column) -> Column:
+        scores = F.map_values(F.try_variant_get(r[C.SIGNAL_ASSESSMENTS], "$", "map<string,variant>"))
+        mode = _said(r[C.SIGNAL_WORK_MODE], signals, C.SIGNAL_WORK_MODE)
+        return F.struct(
+            *[number_from_text(r[n]).alias(k) for k, n in C.SIGNAL_NUMBERS.items()],
+            *[J.variant_truthy(r[n]).alias(k) for k, n in C.SIGNAL_FLAGS.items()],
+            strip(F.coalesce(mode, F.lit(""))).alias("work_mode"),
             F.coalesce(
                 F.filter(F.transform(scores, J.variant_number), lambda n: n.isNotNull()), _empty("double")
             ).alias("assessments"),
-        ),
-    )
+        )
+
+    return once(F.try_variant_get(signals, "$", shape), lambda r: F.when(r.isNotNull(), typed(r)))
 
 
 def candidate_id_of(value: Column, schema_map: SchemaMap, row_id: Column | None, fallback: Column) -> Column:
     """First usable id of a parsed record."""
     options = [J.variant_scalar(F.try_variant_get(value, f"$.{k}", "variant")) for k in ("candidate_id", "id")]
-    more = J.resolve_paths(value, schema_map.identity_ids())
-    options.append(F.get(F.filter(F.transform(more, J.variant_scalar), lambda s: s.isNotNull()), F.lit(0)))
+    options.append(J.first_scalar(value, schema_map.identity_ids()))
     if row_id is not None:
         options.append(row_id.cast("string"))
     return F.coalesce(*options, fallback)
@@ -143,8 +170,7 @@ def candidate_id_of(value: Column, schema_map: SchemaMap, row_id: Column | None,
 
 def display_name_of(value: Column, schema_map: SchemaMap, row_id: Column | None) -> Column:
     """First name-like scalar over the identity paths, else an id."""
-    found = J.resolve_paths(value, schema_map.identity_for_names())
-    named = F.get(F.filter(F.transform(found, J.variant_scalar), lambda s: s.isNotNull()), F.lit(0))
+    named = J.first_scalar(value, schema_map.identity_for_names())
     ids = [
         F.nullif(J.variant_string_or(F.try_variant_get(value, f"$.{k}", "variant")), F.lit(""))
         for k in ("candidate_id", "id")
@@ -179,7 +205,7 @@ def profiles_from_json(
         text.alias("text"),
         display_name_of(v, schema_map, row).alias("display_name"),
         F.try_variant_get(v, "$.profile", "map<string,variant>").alias("_profile"),
-        F.try_variant_get(v, f"$['{signals_field}']", "map<string,variant>").alias("_signals"),
+        F.try_variant_get(v, f"$['{signals_field}']", "variant").alias("_signals"),
         F.coalesce(
             F.transform(F.try_variant_get(v, "$.skills", "array<variant>"), variant_skill),
             _empty(f"struct<kind:string,{SKILL[7:]}"),
@@ -191,7 +217,7 @@ def profiles_from_json(
     flat = lambda name: F.coalesce(J.json_text(F.to_json(field(name))), F.lit(""))
     named = named_skills(F.col("_items"))
     location = F.concat_ws(
-        " ", flat("location"), flat("country"), J.resolved_text(J.resolve_paths(v, schema_map["location"]))
+        " ", flat("location"), flat("country"), J.paths_text(v, schema_map.covering("location"))
     )
     years = [J.path_values(v, p) for p in schema_map.year_paths()]
     year_numbers = F.transform(F.concat(*years), J.variant_number) if years else _empty("double")
@@ -212,22 +238,29 @@ def profiles_from_json(
             *[strip(J.variant_string_or(field(n), "")) for n in ("location", "country")], sep=", "
         ).alias("reason_location"),
         join_parts(
-            J.resolved_text(J.resolve_paths(v, schema_map["seniority"])),
-            J.resolved_text(J.resolve_paths(v, schema_map["projects"])),
+            J.paths_text(v, schema_map.covering("seniority")),
+            J.paths_text(v, schema_map.covering("projects")),
         ).alias("role_text"),
         J.variant_number(field("years_of_experience")).alias("profile_years"),
-        _in_human_range(year_numbers).alias("path_years"),
-        months_total(deep_duration_months(F.col("_raw"))).alias("total_months"),
+        F.coalesce(
+            J.variant_number(field("years_of_experience")),
+            _in_human_range(year_numbers),
+            months_total(deep_duration_months(F.col("_raw"))) / 12.0,
+            F.lit(0.0),
+        ).alias("years"),
         variant_history(v).alias("history"),
         F.when(J.variant_truthy(F.col("_education")), J.json_text(F.to_json("_education")))
-        .otherwise(J.resolved_text(J.resolve_paths(v, schema_map["education"])))
+        .otherwise(J.paths_text(v, schema_map["education"]))
         .alias("education_text"),
         F.coalesce(F.size(F.try_variant_get("_education", "$", "array<variant>")), F.lit(0)).alias("education_count"),
         location.alias("location_text"),
-        J.resolved_text(J.resolve_paths(v, schema_map["experience"])).alias("experience_text"),
+        # read for one warning only, which needs the word "present" somewhere in the record
+        F.when(
+            F.contains(F.lower("text"), F.lit("present")), J.paths_text(v, schema_map.covering("experience"))
+        ).otherwise(F.lit("")).alias("experience_text"),
         F.coalesce(F.size("_profile") > 0, F.lit(False)).alias("has_profile"),
         variant_signals(F.col("_signals")).alias("signals"),
-        F.when(F.col("_signals").isNotNull(), F.size("_signals")).otherwise(F.lit(0)).alias("signal_keys"),
+        F.coalesce(F.size(F.try_variant_get("_signals", "$", "map<string,variant>")), F.lit(0)).alias("signal_keys"),
         (F.size(J.resolve_paths(v, schema_map["availability"])) > 0).alias("availability_found"),
     ).select(*kept, *_with_reason_title())
 
@@ -242,29 +275,31 @@ def _with_reason_title() -> list[Column]:
 # ---------------------------------------------------------------------------
 
 
-def leaf_texts(col: Column, dtype: T.DataType) -> Column:
-    """Normalised leaf texts of a typed value in schema order, ``array<string>``."""
-    blank = F.array(F.lit(""))
+def value_text(col: Column, dtype: T.DataType) -> Column:
+    """Searchable text of a typed value: its leaves in schema order, one space apart.
+
+    Null and empty containers give an empty string, so their place is kept.
+    """
     if isinstance(dtype, T.StructType):
-        parts = [leaf_texts(col[f.name], f.dataType) for f in dtype.fields]
-        return F.when(col.isNull(), blank).otherwise(F.concat(*parts) if parts else blank)
+        parts = [value_text(col[f.name], f.dataType) for f in dtype.fields]
+        return F.when(col.isNull(), F.lit("")).otherwise(F.concat_ws(" ", *parts))
     if isinstance(dtype, T.MapType):
-        return leaf_texts(F.map_values(col), T.ArrayType(dtype.valueType))
+        return value_text(F.map_values(col), T.ArrayType(dtype.valueType))
     if isinstance(dtype, T.ArrayType):
-        nested = F.flatten(F.transform(col, lambda x: leaf_texts(x, dtype.elementType)))
-        return F.when(F.coalesce(F.size(col), F.lit(0)) > 0, nested).otherwise(blank)
+        items = F.transform(col, lambda x: value_text(x, dtype.elementType))
+        return F.coalesce(F.array_join(items, " "), F.lit(""))
     if isinstance(dtype, T.BooleanType):
         text = F.when(col, F.lit("True")).when(~col, F.lit("False"))
     elif isinstance(dtype, T.StringType):
         text = collapse_spaces(col)
     else:
         text = col.cast("string")
-    return F.array(F.coalesce(text, F.lit("")))
+    return F.coalesce(text, F.lit(""))
 
 
 def record_text(df: DataFrame, columns: list[str]) -> Column:
     """Searchable text of typed record columns, leaf by leaf in schema order."""
-    return F.array_join(F.concat(*[leaf_texts(F.col(c), df.schema[c].dataType) for c in columns]), " ")
+    return F.concat_ws(" ", *[value_text(F.col(c), df.schema[c].dataType) for c in columns])
 
 
 def _present(col: Column, dtype: T.DataType) -> Column:
@@ -276,13 +311,13 @@ def _present(col: Column, dtype: T.DataType) -> Column:
 
 
 def _texts(col: Column, dtype: T.DataType) -> Column:
-    return F.when(_present(col, dtype), leaf_texts(col, dtype)).otherwise(_empty("string"))
+    return F.when(_present(col, dtype), F.array(value_text(col, dtype))).otherwise(_empty("string"))
 
 
 def _scalars(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
         return _empty("string")
-    text = strip(col) if isinstance(dtype, T.StringType) else F.get(leaf_texts(col, dtype), F.lit(0))
+    text = strip(col) if isinstance(dtype, T.StringType) else value_text(col, dtype)
     return F.filter(F.array(text), lambda s: s.isNotNull() & (s != ""))
 
 
@@ -372,10 +407,12 @@ def profiles_from_columns(
         return F.get(_scalars(F.col(name), types[name]), F.lit(0)) if name in types else _none("string")
 
     years, years_type = field("profile", "years_of_experience")
+    direct_years = _none("double") if years is None else typed_number(years, years_type)
     skills, listed = _typed_skills(types, schema_map, df)
     months = _gather(df, _paths_to(types, "duration_months"), _numbers, "double")
+    named = [F.get(_gather(df, [p], _scalars, "string"), F.lit(0)) for p in schema_map.identity_for_names()]
     name = F.coalesce(
-        F.get(_gather(df, schema_map.identity_for_names(), _scalars, "string"), F.lit(0)),
+        *named,
         top("candidate_id"),
         top("id"),
         F.lit("Unknown Candidate"),
@@ -400,15 +437,19 @@ def profiles_from_columns(
         scalar_text("current_title").alias("_t"),
         scalar_text("headline").alias("_h"),
         join_parts(scalar_text("location"), scalar_text("country"), sep=", ").alias("reason_location"),
-        join_parts(typed_text(df, schema_map["seniority"]), typed_text(df, schema_map["projects"])).alias("role_text"),
-        (_none("double") if years is None else typed_number(years, years_type)).alias("profile_years"),
-        _in_human_range(_gather(df, schema_map.year_paths(), _numbers, "double")).alias("path_years"),
-        months_total(months).alias("total_months"),
+        join_parts(typed_text(df, schema_map.covering("seniority")), typed_text(df, schema_map.covering("projects"))).alias("role_text"),
+        direct_years.alias("profile_years"),
+        F.coalesce(
+            direct_years,
+            _in_human_range(_gather(df, schema_map.year_paths(), _numbers, "double")),
+            months_total(months) / 12.0,
+            F.lit(0.0),
+        ).alias("years"),
         _typed_history(types).alias("history"),
         F.when(education != "", education).otherwise(typed_text(df, schema_map["education"])).alias("education_text"),
         (F.coalesce(F.size("education"), F.lit(0)) if is_list else F.lit(0)).alias("education_count"),
-        F.concat_ws(" ", flat("location"), flat("country"), typed_text(df, schema_map["location"])).alias("location_text"),
-        typed_text(df, schema_map["experience"]).alias("experience_text"),
+        F.concat_ws(" ", flat("location"), flat("country"), typed_text(df, schema_map.covering("location"))).alias("location_text"),
+        typed_text(df, schema_map.covering("experience")).alias("experience_text"),
         (F.col("profile").isNotNull() if "profile" in types else F.lit(False)).alias("has_profile"),
         _typed_signals(types, signals_field).alias("signals"),
         _typed_keys(types, signals_field).alias("signal_keys"),

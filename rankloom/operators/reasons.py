@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom import constants as C
 from rankloom.functions import text as X
-from rankloom.functions.numeric import array_mean
+from rankloom.functions.numeric import array_mean, once
 
 
 def _order_of(skill: Column) -> Column:
@@ -33,12 +33,19 @@ def sort_skills(skills: Column) -> Column:
 def matched_skill_records(skills: Column, matched: Column) -> Column:
     """Skill records whose canonical name contains, or is part of, a matched term."""
     wanted = F.transform(matched, X.canonical_skill)
-
-    def related(skill: Column) -> Column:
-        name = X.canonical_skill(F.coalesce(skill["name"], F.lit("")))
-        return (name != "") & F.exists(wanted, lambda w: F.contains(w, name) | F.contains(name, w))
-
-    return sort_skills(F.filter(skills, related))
+    named = F.transform(
+        skills,
+        lambda s: F.struct(X.canonical_skill(F.coalesce(s["name"], F.lit(""))).alias("name"), s.alias("skill")),
+    )
+    related = once(
+        wanted,
+        lambda terms: F.filter(
+            named,
+            lambda n: (n["name"] != "")
+            & F.exists(terms, lambda w: F.contains(w, n["name"]) | F.contains(n["name"], w)),
+        ),
+    )
+    return sort_skills(F.transform(related, lambda n: n["skill"]))
 
 
 def skill_record_label(skill: Column) -> Column:

@@ -104,6 +104,16 @@ class SchemaMap:
     def __getitem__(self, name: str) -> list[str]:
         return self.fields.get(name, [])
 
+    def covering(self, name: str) -> list[str]:
+        """Paths of a field without those inside another path of the field.
+
+        Gives the same tokens and words as all paths, each value only once.
+        """
+        paths = self[name]
+        return [
+            p for p in paths if not any(p.startswith((q + ".", q + "[")) for q in paths)
+        ]
+
     def confidence(self, name: str) -> float:
         return min(1.0, len(self[name]) / 3)
 

@@ -69,13 +69,13 @@ def _(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", X.tokens(F.col("text")).alias("tk"), F.lower("text").alias("low")
     )
-    terms = F.filter(X.words(DOC_TERMS), lambda t: F.trim(t) != "")
-    hit = lambda t: X.term_is_present(F.col("low"), F.col("tk"), F.lower(F.trim(t)), X.tokens(t))
-    return docs.select(
-        "doc_id",
-        joined(F.filter(terms, hit)).alias("matched"),
-        joined(F.filter(terms, lambda t: ~hit(t))).alias("missing"),
+    given = F.filter(X.words(DOC_TERMS), lambda t: F.trim(t) != "")
+    terms = F.transform(
+        given, lambda t: F.struct(t.alias("term"), F.lower(F.trim(t)).alias("lowered"), X.tokens(t).alias("words"))
     )
+    rows = docs.select("doc_id", X.present_terms(F.col("low"), F.col("tk"), terms).alias("hit"))
+    matched = F.transform("hit", lambda t: t["term"])
+    return rows.select("doc_id", joined(matched).alias("matched"), joined(F.array_except(given, matched)).alias("missing"))
 
 
 @query(
