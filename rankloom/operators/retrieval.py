@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ MAX_QUERY_VALUES = 250_000  # numbers in the query literal of one pass
 
 Encoder = Callable[[list[str]], np.ndarray]
 
+# the batch functions below travel with the plan, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ---------------------------------------------------------------------------
 # hashed-token vectors

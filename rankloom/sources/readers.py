@@ -39,7 +39,8 @@ def with_line_numbers(lines: DataFrame, column: str = "row_id", accepted: Column
     Only one row per split is shuffled and ordered.  That table is joined back
     without a hint, so adaptive execution broadcasts it when its measured size
     allows and merges it otherwise.  With ``accepted`` only accepted lines are
-    counted and returned, which gives dense ids.
+    counted and returned, which gives dense ids; ``lines`` must then come straight
+    from the scan.
     """
     if accepted is not None:
         lines = (
@@ -81,17 +82,20 @@ def read_jsonl(
     and shown by ``quarantine`` (``DROP``).  ``dense_ids`` numbers accepted records
     1..n instead of using the physical line number.
     """
-    lines = with_line_numbers(read_lines(spark, path))
     blank, parsed = F.col("raw").rlike(BLANK), F.try_parse_json("raw")
-    if mode == "FAILFAST":
-        bad = F.raise_error(F.concat(F.lit("Invalid JSONL on line "), F.col("row_id").cast("string")))
+    lines = read_lines(spark, path)
+    if dense_ids:
+        # numbered inside the scan stage, before any shuffle can change the row order
+        place = F.concat(F.lit("in "), F.col("source_file"), F.lit(" after byte "), F.col("split_start").cast("string"))
     else:
-        bad = F.lit(False)
+        lines = with_line_numbers(lines)
+        place = F.concat(F.lit("on line "), F.col("row_id").cast("string"))
+    bad = F.raise_error(F.concat(F.lit("Invalid JSONL "), place)) if mode == "FAILFAST" else F.lit(False)
     accepted = F.when(blank, F.lit(False)).when(parsed.isNull(), bad).otherwise(is_object(F.col("raw")))
     if dense_ids:
-        lines = with_line_numbers(lines, accepted=accepted)
-        return parse_records(spread_unsplittable(lines, path)).select("row_id", "source_file", "raw", "v")
-    records = spread_unsplittable(lines, path).where(accepted)
+        records = spread_unsplittable(with_line_numbers(lines, accepted=accepted), path)
+    else:
+        records = spread_unsplittable(lines, path).where(accepted)
     return parse_records(records).select("row_id", "source_file", "raw", "v")
 
 
