@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.sources.readers import spread_small_scan
+
 RECORD = ["candidate_id", "profile", "summary", "skills", "career_history", "education", "signals"]
 
 # --- fixed values: titles of the derived records ---------------------------
@@ -117,7 +119,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "r_name")
     users = events_per_user(spark, sf_dir)
     n_users = load(spark, sf_dir, "events").select(F.count_distinct("user_id")).scalar()
-    people = load(spark, sf_dir, "customer").withColumn("user_id", F.col("c_custkey") % n_users)
+    people = spread_small_scan(load(spark, sf_dir, "customer")).withColumn("user_id", F.col("c_custkey") % n_users)
     joined = (
         people.join(nations, "c_nationkey", "left")
         .join(users, "user_id", "left")

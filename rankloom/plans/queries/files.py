@@ -183,7 +183,7 @@ def _(spark, sf):
 
 def _arriving(spark, sf):
     path = _write_lines(spark, sf, "arriving")
-    records = arrivals.arriving_records(spark, path, max_files=2)
+    records = arrivals.arriving_records(spark, path, max_files=4)
     return arrivals.stream_scores(records, CANDIDATE_JOBS, schema_map(spark, sf))
 
 

@@ -17,6 +17,7 @@ from rankloom.plans.queries.registry import (
     query,
     ranked,
     scored,
+    scored_star,
     table,
 )
 from rankloom.plans.ranking import keep_best, rank, raw_backfill
@@ -36,7 +37,7 @@ def _star(df):
     ),
 )
 def _(spark, sf):
-    rows = _star(scored(spark, sf)).select("candidate_id", "composite_score")
+    rows = scored_star(spark, sf).select("candidate_id", "composite_score")
     return topk.top_k(rows, 500, topk.score_order())
 
 
@@ -49,7 +50,7 @@ _TIED = "SELECT candidate_id, round(composite_score) AS score FROM scored WHERE
     O.on_candidates(f"SELECT * FROM ({_TIED}) ORDER BY score DESC, candidate_id DESC LIMIT 100", "scored"),
 )
 def _(spark, sf):
-    rows = _star(scored(spark, sf)).select("candidate_id", F.round("composite_score").alias("score"))
+    rows = scored_star(spark, sf).select("candidate_id", F.round("composite_score").alias("score"))
     return topk.top_k(rows, 100, topk.score_order("score", tie_break=topk.BY_HEAP))
 
 

@@ -13,9 +13,10 @@ from rankloom.operators import features
 from rankloom.operators.profile import profiles_from_columns
 from rankloom.operators.schema_map import SchemaMap
 from rankloom.plans import candidates as view
-from rankloom.plans.fixtures import CANDIDATE_JOBS, JD_DOC
+from rankloom.plans.fixtures import CANDIDATE_JOBS, JD_DOC, JD_STAR
 from rankloom.plans.ranking import keep_best, score_all
 from rankloom.session import shared_dir
+from rankloom.sources.readers import spread_small_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +45,11 @@ def joined(col, sep: str = "|") -> Column:
 table = view.load
 
 
+@lru_cache(maxsize=64)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_small_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # Plans, not data: a base plan is built once per session and data folder and shared.
 
 
@@ -81,6 +87,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_all(profiles(spark, sf_dir), CANDIDATE_JOBS)
 
 
+@lru_cache(maxsize=64)
+def scored_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_all(profiles(spark, sf_dir), [JD_STAR])
+
+
 @lru_cache(maxsize=64)
 def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.add_details(scored(spark, sf_dir))
@@ -93,7 +104,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=64)
 def documents_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), "text")
     paths = SchemaMap.from_struct(spark, docs.schema)
     return score_all(profiles_from_columns(docs, paths, record=["id", "text"]), [JD_DOC])
 

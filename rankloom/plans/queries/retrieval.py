@@ -9,7 +9,7 @@ from rankloom.jobs import compiled
 from rankloom.operators import retrieval as R
 from rankloom.plans import oracle as O
 from rankloom.plans.fixtures import JD_DOC
-from rankloom.plans.queries.registry import documents_scored, query, r6, table
+from rankloom.plans.queries.registry import documents, documents_scored, query, r6, table
 
 QUERY_TEXT = "eriner nicht thtion attion ering the le la"
 KEYWORDS = ["ring", "old", "hot", "gear", "zzz"]
@@ -35,13 +35,13 @@ _DOCS = _weights("doc_id", "documents")
     f"WITH {_DOCS} SELECT w.doc AS doc_id, bucket, round(weight / norm, 6) AS weight FROM w JOIN n ON w.doc = n.doc",
 )
 def _(spark, sf):
-    vectors = R.hash_buckets(table(spark, sf, "documents"), "doc_id", "text")
+    vectors = R.hash_buckets(documents(spark, sf), "doc_id", "text")
     return vectors.select("doc_id", "bucket", r6(F.col("weight") / F.col("norm")).alias("weight"))
 
 
 @query("norm_of_vector", f"WITH {_DOCS} SELECT doc AS doc_id, round(norm, 6) AS norm FROM n")
 def _(spark, sf):
-    vectors = R.hash_buckets(table(spark, sf, "documents"), "doc_id", "text")
+    vectors = R.hash_buckets(documents(spark, sf), "doc_id", "text")
     return R.vector_norms(vectors, "doc_id").select("doc_id", r6("norm").alias("norm"))
 
 
@@ -50,7 +50,7 @@ def _(spark, sf):
     f"WITH {_DOCS} SELECT d.doc_id, coalesce(count(bucket), 0) AS n_buckets, coalesce(max(abs(weight)), 0)::DOUBLE / any_value(norm) >= 0.999 AS one_bucket FROM documents d LEFT JOIN w ON w.doc = d.doc_id LEFT JOIN n ON n.doc = d.doc_id GROUP BY d.doc_id",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", R.embed_column(F.col("text")).alias("v"))
+    docs = documents(spark, sf).select("doc_id", R.embed_column(F.col("text")).alias("v"))
     used = F.filter("v", lambda x: x != 0)
     return docs.select(
         "doc_id",
@@ -67,7 +67,7 @@ SELECT d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM documents d LEFT J
   ON s.doc = d.doc_id""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     wanted = R.hash_vectors([QUERY_TEXT]).astype("float64")[0]
     wanted = wanted / (wanted @ wanted) ** 0.5
     vectors = R.hash_buckets(docs, "doc_id", "text")
@@ -86,7 +86,7 @@ def _(spark, sf):
     items = table(spark, sf, "benchmark").collect()
     vectors = R.hash_vectors([r["text"] for r in items])
     queries = [(r["item_id"], v.tolist()) for r, v in zip(items, vectors)]
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text")
     found = R.retrieve(docs, R.embed_column(F.col("text")), queries, 5, row_id="doc_id", digits=5)
     return found.select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
@@ -160,7 +160,7 @@ def _(spark, sf):
     terms = spark.createDataFrame(
         [("doc", " ".join(t), w, len(t)) for t in _TERMS for w in t], "jd_id string, term string, token string, n_tokens int"
     )
-    docs = table(spark, sf, "documents")
+    docs = documents(spark, sf)
     found = R.token_overlap_join(docs, "doc_id", X.tokens(F.col("text")), terms)
     return found.select("doc_id", "jd_id", "term", r6("coverage").alias("coverage"))
 

@@ -15,6 +15,7 @@ from rankloom.plans import oracle as O
 from rankloom.plans.fixtures import JD_STAR
 from rankloom.plans.queries.registry import (
     candidates_json,
+    documents,
     documents_scored,
     joined,
     profiles,
@@ -40,7 +41,7 @@ def _terms(items) -> F.Column:
 )
 def _(spark, sf):
     t = X.tokens(F.col("text"))
-    docs = table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    docs = documents(spark, sf).select("doc_id", t.alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), joined(F.array_sort("t"), " ").alias("tokens"))
 
 
@@ -49,7 +50,7 @@ def _(spark, sf):
     f"SELECT doc_id, array_to_string(list_sort({O.sig('text')}), ' ') AS kept, len({O.sig('text', O.GENERIC)}) AS n_focus FROM documents",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    docs = documents(spark, sf).select("doc_id", X.tokens(F.col("text")).alias("t"))
     return docs.select(
         "doc_id",
         joined(F.array_sort(X.signal_tokens(F.col("t"))), " ").alias("kept"),
@@ -66,7 +67,7 @@ SELECT doc_id, array_to_string(hit, '|') AS matched, array_to_string(list_filter
 
 @query("skill_overlap", _OVERLAP)
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = documents(spark, sf).select(
         "doc_id", X.tokens(F.col("text")).alias("tk"), F.lower("text").alias("low")
     )
     given = F.filter(X.words(DOC_TERMS), lambda t: F.trim(t) != "")
@@ -85,7 +86,7 @@ k AS (SELECT doc_id, t, list_transform(t, lambda z: lower(z)) AS keys FROM d)
 SELECT doc_id, len(c) AS n_terms, array_to_string(c, '|') AS terms FROM (SELECT doc_id, list_filter(t, lambda v, i: list_position(keys, lower(v)) = i) AS c FROM k)""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", X.clean_terms(F.split("text", "\n")).alias("c"))
+    docs = documents(spark, sf).select("doc_id", X.clean_terms(F.split("text", "\n")).alias("c"))
     return docs.select("doc_id", F.size("c").alias("n_terms"), joined("c").alias("terms"))
 
 
@@ -160,7 +161,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cut = X.truncate_text(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.length(cut).alias("n_kept"), F.md5(cut).alias("digest"))
+    return documents(spark, sf).select("doc_id", F.length(cut).alias("n_kept"), F.md5(cut).alias("digest"))
 
 
 @query(
@@ -264,7 +265,7 @@ _SETS_SQL = "[" + ", ".join(O._list(s) for s in TERM_SETS) + "]"
     f"SELECT doc_id, round({O.dens('s')}, 6) AS density FROM (SELECT doc_id, {O.dens_scores(_SETS_SQL, O.toks('text'))} AS s FROM documents)",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    docs = documents(spark, sf).select("doc_id", X.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", r6(X.keyword_density(F.col("t"), _terms(TERM_SETS))).alias("density"))
 
 
@@ -274,7 +275,7 @@ def _(spark, sf):
   len(list_filter(r, lambda x: NOT list_contains(t, x))) AS n_absent FROM (SELECT doc_id, {O.toks('text')} AS t, {O._list(ROLE)} AS r FROM documents)""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    docs = documents(spark, sf).select("doc_id", X.tokens(F.col("text")).alias("t"))
     role = X.words(ROLE)
     return docs.select(
         "doc_id",
@@ -297,7 +298,7 @@ def _(spark, sf):
     rows = (
         table(spark, sf, "events").select(F.lit("events").alias("source"), F.col("props").alias("raw"))
         .unionAll(table(spark, sf, "conversations").select(F.lit("conversations"), "text"))
-        .unionAll(table(spark, sf, "documents").select(F.lit("lines"), F.explode(F.split("text", "\n"))))
+        .unionAll(documents(spark, sf).select(F.lit("lines"), F.explode(F.split("text", "\n"))))
     )
     good = F.try_parse_json("raw").isNotNull() & is_object(F.col("raw"))
     return rows.groupBy("source").agg(

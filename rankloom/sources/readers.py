@@ -72,6 +72,16 @@ def spread_unsplittable(df: DataFrame, path: str | list[str]) -> DataFrame:
     return df
 
 
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores when the scan has fewer splits than the cluster has cores.
+
+    A large table has far more splits than cores and passes through unchanged; a few
+    small files would otherwise leave the scoring stage to a few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jsonl(
     spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST", dense_ids: bool = False
 ) -> DataFrame:
