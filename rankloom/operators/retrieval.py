@@ -59,8 +59,8 @@ def vector_norms(weights: DataFrame, key: str) -> DataFrame:
     return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 
 
-def hash_vectors(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
-    """Dense unit vectors of hashed tokens for one Arrow batch; zero stays zero."""
+def hash_counts(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
+    """Signed token counts per bucket for one Arrow batch; whole numbers, so exact."""
     places: dict[str, tuple[int, float]] = {}
     out = np.zeros((len(texts), dims), dtype="float32")
     for row, text in enumerate(texts):
@@ -71,8 +71,23 @@ def hash_vectors(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
                 place = ((digest[0] * 256 + digest[1]) % dims, 1.0 - 2.0 * (digest[2] & 1))
                 places[token] = place
             out[row, place[0]] += place[1]
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=out, where=norms > 0)
+    return out
+
+
+def load_hash_counts() -> Encoder:
+    """Loader for ``embed_column`` that leaves the counts unscaled."""
+    return hash_counts
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay zero."""
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+
+def hash_vectors(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
+    """Dense unit vectors of hashed tokens; zero stays zero."""
+    return unit_rows(hash_counts(texts, dims))
 
 
 def embed_column(text: Column, load: Callable[[], Encoder] | None = None) -> Column:
@@ -133,6 +148,7 @@ def retrieve(
     *,
     row_id: str,
     query_id: str = "query_id",
+    cosine: bool = False,
     digits: int | None = None,
     fan_in: int = topk.FAN_IN,
 ) -> DataFrame:
@@ -140,8 +156,9 @@ def retrieve(
 
     Each Arrow batch is one matrix product against all queries of the pass and gives
     up only its own best ``k`` rows per query, which cannot lose a row of the global
-    best ``k``.  The pruned rows then go through the distributed top-K.  ``digits``
-    rounds the scores first, so that single-precision noise cannot order equal rows.
+    best ``k``.  The pruned rows then go through the distributed top-K.  ``cosine``
+    scales rows to unit length in double precision first.  ``digits`` compares rounded
+    scores, so that floating-point noise cannot order equal rows.
     """
     id_type = df.schema[row_id].dataType
     keyed = df.select(F.col(row_id), vector.alias("_vec")).where(F.col("_vec").isNotNull())
@@ -150,20 +167,27 @@ def retrieve(
             T.StructField(query_id, T.StringType() if isinstance(queries[0][0], str) else T.LongType()),
             T.StructField(row_id, id_type),
             T.StructField("score", T.DoubleType()),
+            T.StructField("_compared", T.DoubleType()),
         ]
     )
 
     def scorer(ids: list, matrix: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                scores = np.stack(pdf["_vec"].to_numpy()).astype("float64") @ matrix
-                if digits is not None:
-                    scores = np.round(scores, digits)
+                vectors = np.stack(pdf["_vec"].to_numpy()).astype("float64")
+                scores = (unit_rows(vectors) if cosine else vectors) @ matrix
+                compared = scores if digits is None else np.round(scores, digits)
                 rows = pdf[row_id].to_numpy()
                 for j, query in enumerate(ids):
-                    column = scores[:, j]
-                    best = np.lexsort((rows, -column))[:k]
-                    yield pd.DataFrame({query_id: query, row_id: rows[best], "score": column[best]})
+                    best = np.lexsort((rows, -compared[:, j]))[:k]
+                    yield pd.DataFrame(
+                        {
+                            query_id: query,
+                            row_id: rows[best],
+                            "score": scores[best, j],
+                            "_compared": compared[best, j],
+                        }
+                    )
 
         return run
 
@@ -172,7 +196,7 @@ def retrieve(
         matrix = np.asarray([q[1] for q in part], dtype="float64").T
         parts.append(keyed.mapInPandas(scorer([q[0] for q in part], matrix), schema))
     found = reduce(DataFrame.unionByName, parts)
-    return topk.top_k(found, k, topk.score_order("score", row_id), [query_id], fan_in)
+    return topk.top_k(found, k, topk.score_order("_compared", row_id), [query_id], fan_in).drop("_compared")
 
 
 def retrieve_one(df: DataFrame, vector: Column, query: list[float], k: int, *, row_id: str) -> DataFrame:

@@ -79,16 +79,17 @@ def _(spark, sf):
     f"""WITH {_DOCS}, {_weights('item_id', 'benchmark', 'q_')},
 s AS (SELECT q_w.doc AS query_id, w.doc AS doc_id, sum(w.weight / n.norm * q_w.weight / q_n.norm) AS score
   FROM w JOIN n ON n.doc = w.doc JOIN q_w ON q_w.bucket = w.bucket JOIN q_n ON q_n.doc = q_w.doc GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS place FROM s) WHERE place <= 5""",
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS place FROM s) WHERE place <= 5""",
 )
 def _(spark, sf):
     # the queries are job texts: configuration, embedded on the driver and sent with the plan
     items = table(spark, sf, "benchmark").collect()
-    vectors = R.hash_vectors([r["text"] for r in items])
+    vectors = R.unit_rows(R.hash_counts([r["text"] for r in items]).astype("float64"))
     queries = [(r["item_id"], v.tolist()) for r, v in zip(items, vectors)]
     docs = documents(spark, sf).select("doc_id", "text")
-    found = R.retrieve(docs, R.embed_column(F.col("text")), queries, 5, row_id="doc_id", digits=5)
-    return found.select("query_id", "doc_id", F.round("score", 3).alias("score"))
+    vector = R.embed_column(F.col("text"), R.load_hash_counts)
+    found = R.retrieve(docs, vector, queries, 5, row_id="doc_id", cosine=True, digits=5)
+    return found.select("query_id", "doc_id", r6("score").alias("score"))
 
 
 _CENTROIDS = "c AS (SELECT label AS query_id, [" + ", ".join(
