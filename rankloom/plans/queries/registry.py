@@ -21,7 +21,7 @@ from rankloom.sources.readers import spread_small_scan
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-ALL_ROWS = 500  # the reference size of the feature shortlist
+ALL_ROWS = 500  # default size of the feature shortlist
 
 
 def query(name: str, sql: str | None = None):
