@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tests.llm.conftest import compare
 
-from rankloom.llm import bpe, licenses, pii, quality_model, quality_rules, secrets
+from rankloom.llm import bpe, licenses, pii, quality_model, quality_rules, secret_scan
 from rankloom.llm.registry import vocabulary_path
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -69,19 +69,19 @@ def brute_secrets(row):
 
 def test_secrets(nasty, small, empty):
     for docs in (nasty, small):
-        compare(secrets.scan(docs), ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), brute_secrets, docs)
-    assert secrets.scan(empty).count() == 0
+        compare(secret_scan.scan(docs), ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), brute_secrets, docs)
+    assert secret_scan.scan(empty).count() == 0
 
 
 def test_entropy_windows():
     text = "0a9f3c7e1b5d8246ffee" * 2
     windows = [text[i : i + 20] for i in range(len(text) - 19)]
     entropy = lambda w: -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
-    assert secrets.best_entropy(text, 20) == pytest.approx(max(map(entropy, windows)))
-    assert secrets.is_secret("aZ3kP9xQ7mT2vL8nR4wY6bC1")
+    assert secret_scan.best_entropy(text, 20) == pytest.approx(max(map(entropy, windows)))
+    assert secret_scan.is_secret("aZ3kP9xQ7mT2vL8nR4wY6bC1")
     for plain in ("internationalisation_of_words", "2024-01-01-2024-01-02-03", "abcabcabcabcabcabcabcabc1", "chapter-and-verse-number-2024"):
-        assert not secrets.is_secret(plain)
-    assert secrets.redact("x password=abcdefgh12 y") == "x [SECRET] y"
+        assert not secret_scan.is_secret(plain)
+    assert secret_scan.redact("x password=abcdefgh12 y") == "x [SECRET] y"
 
 
 # ------------------------------------------------------------------ personal data
