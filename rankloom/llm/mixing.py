@@ -64,9 +64,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: in
     after = by_cap.rowsBetween(0, Window.unboundedFollowing)
     total = F.lit(float(share)) * F.sum("source_size").over(everything)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    ranked = ranked.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
+    ranked = ranked.withColumn("place", F.row_number().over(by_cap)).withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
     # the level of the first source that stays within its cap holds for all that follow
-    ranked = ranked.withColumn("common", F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything))
+    ranked = ranked.withColumn("common", F.min(F.when(F.col("fits"), F.struct("place", "level"))).over(everything))
     target = F.least("cap", F.coalesce(F.col("common.level"), F.lit(float("inf"))) * F.col("weight"))
     return ranked.select("source", "source_size", target.alias("target"))
 
