@@ -21,7 +21,10 @@ VOCABULARY = "word_bpe_49k.json"
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that a rule rejects go."""
-    return quality_rules.judge(docs, keep=docs.columns).where("kept").select(*docs.columns)
+    # neutral names, as the table may have columns named like the verdict's
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    judged = quality_rules.judge(plain, keep=plain.columns, text=f"c{docs.columns.index('text')}")
+    return judged.where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
