@@ -54,7 +54,8 @@ def _steps(path: str) -> list[str]:
 
 
 def _variant_path(keys: list[str]) -> str:
-    return "$" + "".join("['" + k + "']" for k in keys)
+    # keys with an apostrophe take double quotes; the path syntax has no escapes
+    return "$" + "".join(f'["{k}"]' if "'" in k else f"['{k}']" for k in keys)
 
 
 def _at(value: Column, keys: list[str], dtype: str) -> Column:

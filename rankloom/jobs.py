@@ -63,18 +63,14 @@ JOB_SCHEMA = T.StructType(
 )
 
 
-def jobs_from_frame(df: DataFrame, max_jobs: int = 10_000) -> list[JobSpec]:
-    """Job descriptions of a table, as configuration objects.
+def jobs_from_frame(df: DataFrame) -> list[JobSpec]:
+    """Job descriptions of a table, as configuration objects, fetched partition by partition.
 
-    A job table is written by people and stays small; the size is checked so that a
-    wrong table fails here and not in the driver's memory.
+    Ranking reads them in passes of bounded size; page a very large table by filtering it.
     """
-    rows = df.limit(max_jobs + 1).collect()
-    if len(rows) > max_jobs:
-        raise ValueError(f"more than {max_jobs} job descriptions; rank them in several calls")
     return [
         JobSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.asDict().items() if v is not None})
-        for r in rows
+        for r in df.toLocalIterator()
     ]
 
 

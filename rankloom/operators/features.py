@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom import constants as C
 from rankloom.functions import text as X
@@ -328,7 +329,12 @@ def add_features(df: DataFrame) -> DataFrame:
 def attach_retrieval_score(df: DataFrame) -> Column:
     """A retrieval score given by the caller, else the lexical stand-in in [-1, 1]."""
     lexical = 2 * F.col("lexical_relevance") - 1
-    return F.coalesce(F.col("retrieval_score").cast("double"), lexical) if "retrieval_score" in df.columns else lexical
+    if "retrieval_score" not in df.columns:
+        return lexical
+    given = F.col("retrieval_score")
+    if isinstance(df.schema["retrieval_score"].dataType, T.MapType):  # one score per job
+        given = F.try_element_at(given, F.col("jd")["jd_id"])
+    return F.coalesce(given.cast("double"), lexical)
 
 
 def _mean_or(scores: str, default: float) -> Column:

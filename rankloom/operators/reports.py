@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import constants as C
@@ -56,18 +56,19 @@ def feature_means(ranked: DataFrame, k: int = 20) -> DataFrame:
 def histogram(df: DataFrame, score: str, bins: int = 20, keys: list[str] | None = None) -> DataFrame:
     """Equal-width bins 1..``bins`` between the smallest and largest score of a key.
 
-    The limits come from an aggregate that is joined back on the job key, so the
-    scored rows themselves are not shuffled to one place.
+    One pass over the rows counts each distinct score (partial counts, so a hot job is
+    combined before the shuffle); limits and bins come from those few counts alone.
     """
     keys = keys or ["jd_id"]
-    limits = df.groupBy(*keys).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
-    joined = df.join(limits, keys)
+    counted = df.groupBy(*keys, score).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*keys)
+    joined = counted.withColumn("_low", F.min(score).over(own)).withColumn("_high", F.max(score).over(own))
     width = (F.col("_high") - F.col("_low")) / bins
     place = F.when(width > 0, F.floor((F.col(score) - F.col("_low")) / width) + 1).otherwise(F.lit(1))
     return (
-        joined.select(*keys, F.least(place, F.lit(bins)).cast("int").alias("bin"))
+        joined.select(*keys, F.least(place, F.lit(bins)).cast("int").alias("bin"), "_n")
         .groupBy(*keys, "bin")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
 
 

@@ -90,21 +90,26 @@ def hash_vectors(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
     return unit_rows(hash_counts(texts, dims))
 
 
+def load_or_none(load: Callable[[], Encoder]) -> Callable[[], Encoder] | None:
+    """``load`` if it works on the driver, else None (hashed vectors for the whole column)."""
+    try:
+        load()
+    except (ImportError, OSError):
+        return None
+    return load
+
+
 def embed_column(text: Column, load: Callable[[], Encoder] | None = None) -> Column:
     """Text to unit vectors by a user's batch encoder.
 
-    ``load`` runs once per task and gives the encoder.  Without it, or where it cannot
-    be loaded, hashed-token vectors are used.
+    ``load`` runs once per task and gives the encoder; a task where it fails stops the job,
+    so a column never mixes two kinds of vectors.  Without it hashed-token vectors are used.
+    Use ``load_or_none`` to decide on the fallback once, on the driver.
     """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = hash_vectors
-        if load is not None:
-            try:
-                encoder = load()
-            except Exception:  # a missing model falls back, as documented
-                encoder = hash_vectors
+        encoder = hash_vectors if load is None else load()
         for batch in batches:
             vectors = encoder(batch.fillna("").tolist())
             yield pd.Series(list(np.asarray(vectors, dtype="float32")), index=batch.index)

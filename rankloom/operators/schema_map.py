@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -47,10 +49,15 @@ def paths_of_variants(df: DataFrame, column: str) -> list[str]:
     merged = df.agg(F.schema_of_variant_agg(column).alias("s")).first()["s"]
     if not merged or not merged.startswith("OBJECT<"):
         return []
-    ddl = merged.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+    # type words only: names in back quotes are matched first and stay as they are
+    ddl = re.sub(r"`(?:[^`]|``)*`|\bOBJECT<|\bVOID\b(?!:)", _type_word, merged)
     return paths_of_struct(T.DataType.fromDDL(ddl))
 
 
+def _type_word(m: re.Match) -> str:
+    return {"OBJECT<": "STRUCT<", "VOID": "STRING"}.get(m.group(), m.group())
+
+
 def paths_frame(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame([(p,) for p in paths], "path string")
 

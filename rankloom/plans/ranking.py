@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom import constants as C
 from rankloom.jobs import JobSpec, job_batches
@@ -39,6 +40,8 @@ class RankingResult:
 
 def score_all(profiles: DataFrame, jobs: list[JobSpec]) -> DataFrame:
     """Scores of every profile for every job; large job lists take several passes."""
+    if not jobs:  # an empty ranking with the usual columns
+        return features.score(profiles, [JobSpec()]).limit(0)
     return reduce(DataFrame.unionByName, [features.score(profiles, batch) for batch in job_batches(jobs)])
 
 
@@ -49,6 +52,17 @@ def keep_best(scored: DataFrame, k: int, tie_break: str = topk.BY_ID, keep: tupl
     return features.add_details(best)
 
 
+def retrieval_cut(profiles: DataFrame, jobs: list[JobSpec], k: int) -> tuple[DataFrame, DataFrame | None]:
+    """Profiles that at least one job keeps, and each job's kept ids where the score is per job."""
+    if not isinstance(profiles.schema["retrieval_score"].dataType, T.MapType):
+        best = topk.top_k(profiles.select("candidate_id", "retrieval_score"), k, topk.score_order("retrieval_score"))
+        return profiles.join(best.select("candidate_id"), "candidate_id", "left_semi"), None
+    pairs = profiles.select("candidate_id", F.explode("retrieval_score").alias("jd_id", "score"))
+    pairs = pairs.where(F.col("jd_id").isin([j.jd_id for j in jobs]))
+    cut = topk.top_k(pairs, k, topk.score_order("score"), ["jd_id"]).select("candidate_id", "jd_id")
+    return profiles.join(cut.select("candidate_id").distinct(), "candidate_id", "left_semi"), cut
+
+
 def rank(
     profiles: DataFrame,
     jobs: JobSpec | list[JobSpec],
@@ -60,11 +74,19 @@ def rank(
     tie_break: str = topk.BY_ID,
     keep: tuple[str, ...] = (),
 ) -> RankingResult:
-    """Rank profile rows.  ``k_retrieval`` first cuts by the ``retrieval_score`` column."""
+    """Rank profile rows.
+
+    ``k_retrieval`` first cuts every job to its best rows by the ``retrieval_score`` column:
+    one score for all jobs, or a map from job id to score.  The cut is made on ids and scores
+    alone; only rows that some job keeps are scored.
+    """
     jobs = [jobs] if isinstance(jobs, JobSpec) else list(jobs)
+    cut = None
     if k_retrieval is not None:
-        profiles = topk.top_k(profiles, k_retrieval, topk.score_order("retrieval_score"))
+        profiles, cut = retrieval_cut(profiles, jobs, k_retrieval)
     scored = score_all(profiles, jobs)
+    if cut is not None:
+        scored = scored.join(cut, ["candidate_id", "jd_id"], "left_semi")
     ranked = keep_best(scored, k_features, tie_break, keep)
     return RankingResult(
         schema_map or SchemaMap(), jobs, scored, ranked, reports.export_rows(ranked, k_export)
@@ -110,11 +132,17 @@ def rank_files(
     path: str | list[str],
     jobs: JobSpec | list[JobSpec],
     schema: dict | SchemaMap,
+    *,
+    mode: str = "FAILFAST",
     **options,
 ) -> RankingResult:
-    """Rank JSONL files (plain or gzip) under a JSON Schema document or a schema map."""
+    """Rank JSONL files (plain or gzip) under a JSON Schema document or a schema map.
+
+    ``mode`` says what malformed lines do: stop the job with their line number (``FAILFAST``)
+    or stay out (``DROP``; ``readers.quarantine`` lists them).
+    """
     schema_map = schema if isinstance(schema, SchemaMap) else SchemaMap.from_json_schema(spark, schema)
-    records = read_jsonl(spark, path)
+    records = read_jsonl(spark, path, mode=mode)
     return rank_json(records, jobs, schema_map, row_id="row_id", **options)
 
 

@@ -65,9 +65,11 @@ def with_line_numbers(lines: DataFrame, column: str = "row_id", accepted: Column
 
 
 def spread_unsplittable(df: DataFrame, path: str | list[str]) -> DataFrame:
-    """A gzip file is one split: deal its rows to all cores before the heavy work."""
-    paths = [path] if isinstance(path, str) else path
-    if any(p.lower().endswith(".gz") for p in paths):
+    """A gzip file is one split: deal its rows to all cores before the heavy work.
+
+    Decided by the names of the files that the scan found, so folders and globs count too.
+    """
+    if any(p.lower().endswith(".gz") for p in df.inputFiles()):
         return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df
 
@@ -119,15 +121,30 @@ def quarantine(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_records(lines).where(F.col("v").isNull()).select("source_file", "row_id", "raw")
 
 
-def read_json_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def quarantine_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Malformed JSON documents (file and text), for repair."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
+    return docs.where(F.try_parse_json("raw").isNull())
+
+
+def read_json_array(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST") -> DataFrame:
     """Records of JSON documents: a top-level list, or the list under ``candidates``.
 
+    A malformed document stops the job with its name (``FAILFAST``) or stays out (``DROP``,
+    see ``quarantine_documents``).
+
     Each element keeps its own raw text in source order; the row id is its 1-based
     position in the list, counted before other elements are dropped.
     """
     docs = spark.read.text(path, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_path").alias("source_file")
     )
+    bad = F.try_parse_json("value").isNull()
+    if mode == "FAILFAST":
+        stop = F.raise_error(F.concat(F.lit("Invalid JSON document "), F.col("source_file")))
+        docs = docs.withColumn("value", F.when(bad, stop).otherwise(F.col("value")))
+    else:
+        docs = docs.where(~bad)
     listed = F.when(
         F.col("value").rlike(r"^\s*\["), F.from_json("value", "array<string>")
     ).otherwise(F.from_json("value", "candidates array<string>")["candidates"])

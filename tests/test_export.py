@@ -49,14 +49,14 @@ def test_export_is_limited_and_ranked(spark):
 
 
 def test_ties_go_by_id(spark):
-    rows = export(scores(spark, [("CAND_0000002", 91.5), ("CAND_0000001", 91.5)]))
-    assert [r["candidate_id"] for r in rows] == ["CAND_0000001", "CAND_0000002"]
+    rows = export(scores(spark, [("bed-2", 91.5), ("bed-1", 91.5)]))
+    assert [r["candidate_id"] for r in rows] == ["bed-1", "bed-2"]
 
 
 def test_scores_are_normalised_over_the_export_only(spark):
-    given = [("a", 52.11), ("b", 51.67), ("c", 51.11)]
-    assert [r["score"] for r in export(scores(spark, given))] == ["1.00000000", "0.60400000", "0.10000000"]
-    assert [r["score"] for r in export(scores(spark, [*given, ("d", 3.0)]), 3)] == ["1.00000000", "0.60400000", "0.10000000"]
+    given = [("a", 80.0), ("b", 76.0), ("c", 72.0)]
+    assert [r["score"] for r in export(scores(spark, given))] == ["1.00000000", "0.55000000", "0.10000000"]
+    assert [r["score"] for r in export(scores(spark, [*given, ("d", 3.0)]), 3)] == ["1.00000000", "0.55000000", "0.10000000"]
 
 
 def test_long_reason_without_evidence(spark):
@@ -69,28 +69,28 @@ def test_long_reason_without_evidence(spark):
 
 def test_short_reason_from_evidence(spark):
     skills = (
-        f"cast(array(named_struct('name','NLP','proficiency','advanced','duration_months',26D,'endorsements',37D),"
-        f"named_struct('name','React','proficiency','intermediate','duration_months',35D,'endorsements',6D)) as array<{SKILL}>)"
+        f"cast(array(named_struct('name','Mycology','proficiency','advanced','duration_months',26D,'endorsements',37D),"
+        f"named_struct('name','Weeding','proficiency','intermediate','duration_months',35D,'endorsements',6D)) as array<{SKILL}>)"
     )
     values = {"response_rate": "0.34D", "notice": "60D", "work_mode": "'onsite'", "assessments": "array(50D)"}
     names = [*C.SIGNAL_NUMBERS, *C.SIGNAL_FLAGS, "work_mode", "assessments"]
     signals = f"cast(named_struct({','.join(f'''{n!r},{values.get(n, 'null')}''' for n in names)}) as {_SIGNALS})"
     df = scores(
         spark,
-        [("CAND_0000001", 88.0)],
-        matched_skills="array('Python', 'NLP')",
-        missing_skills="array('Vector databases')",
+        [("bed-9", 88.0)],
+        matched_skills="array('Python', 'Mycology')",
+        missing_skills="array('Soil tests')",
         has_profile="true",
         signal_keys="4",
         listed_skills=skills,
         signals=signals,
-        reason_title="'Backend Engineer'",
-        reason_location="'Toronto, Canada'",
+        reason_title="'Greenhouse Manager'",
+        reason_location="'Kew, England'",
         profile_years="6.9D",
     )
     assert export(df)[0]["reasoning"] == (
-        "Backend Engineer with 6.9 yrs; 1 matched JD skills: NLP (advanced, 26 mo, 37 endorsements); "
-        "1 skill assessments averaging 50/100; response rate 0.34, 60d notice, onsite work preference; gaps: Vector databases."
+        "Greenhouse Manager with 6.9 yrs; 1 matched JD skills: Mycology (advanced, 26 mo, 37 endorsements); "
+        "1 skill assessments averaging 50/100; response rate 0.34, 60d notice, onsite work preference; gaps: Soil tests."
     )
 
 
