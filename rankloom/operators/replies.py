@@ -41,7 +41,15 @@ def validate_replies(df: DataFrame, content: str, shape: str, required: list[str
     ).drop("_body")
 
 
-def explanation_rows(replies: DataFrame, content: str) -> DataFrame:
-    """Explanations out of valid batch replies, one row each, with their position."""
+def explanation_rows(replies: DataFrame, content: str, order: str | None = None) -> DataFrame:
+    """Explanations out of valid batch replies, one row each, with their position.
+
+    ``order`` names the replies' own order (a number or a time): the position is then (order, place),
+    so that of two explanations of one id the one in the later reply is the last.
+    """
     good = validate_replies(replies, content, EXPLANATIONS, []).where(F.col("status") == "ok")
-    return good.select(F.posexplode("parsed.explanations").alias("pos", "e")).select("pos", "e.*")
+    place = F.posexplode("parsed.explanations").alias("pos", "e")
+    if order is None:
+        return good.select(place).select("pos", "e.*")
+    rows = good.select(F.col(order).alias("_order"), place)
+    return rows.select(F.struct(F.col("_order").alias("reply"), F.col("pos").alias("place")).alias("pos"), "e.*")

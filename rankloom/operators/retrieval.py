@@ -102,10 +102,11 @@ def load_or_none(load: Callable[[], Encoder]) -> Callable[[], Encoder] | None:
 def embed_column(text: Column, load: Callable[[], Encoder] | None = None) -> Column:
     """Text to unit vectors by a user's batch encoder.
 
-    ``load`` runs once per task and gives the encoder; a task where it fails stops the job,
-    so a column never mixes two kinds of vectors.  Without it hashed-token vectors are used.
-    Use ``load_or_none`` to decide on the fallback once, on the driver.
+    ``load`` runs once per task and gives the encoder.  Where it is missing is decided once, here on
+    the driver: then the whole column holds hashed-token vectors, as without ``load``.  A task where
+    it fails stops the job, so a column never mixes two kinds of vectors.
     """
+    load = load and load_or_none(load)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

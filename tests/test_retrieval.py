@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from rankloom.operators import replies
+from rankloom.operators import replies, reports
 from rankloom.operators import retrieval as R
 
 
@@ -53,3 +53,13 @@ def test_explanation_rows(spark):
     df = spark.createDataFrame([(text,), ("{}",), ("x",)], "content string")
     rows = replies.explanation_rows(df, "content").collect()
     assert [(r["pos"], r["candidate_id"], r["recruiter_rationale"]) for r in rows] == [(0, "a", ["r"])]
+
+
+def test_the_later_reply_explains_last(spark):
+    reply = '{"explanations":[%s{"candidate_id":"a","summary":"%s","recruiter_rationale":[],"interview_focus":[],"risk_notes":[]}]}'
+    other = '{"candidate_id":"b","summary":"first","recruiter_rationale":[],"interview_focus":[],"risk_notes":[]},'
+    df = spark.createDataFrame([(2, reply % ("", "late")), (1, reply % (other, "early"))], "at int, content string")
+    notes = replies.explanation_rows(df, "content", order="at")
+    ranked = spark.createDataFrame([("a",), ("b",), ("c",)], "candidate_id string")
+    rows = {r["candidate_id"]: r["explanation"] for r in reports.explanation_lookup(ranked, notes, "pos").collect()}
+    assert (rows["a"]["summary"], rows["b"]["summary"], rows["c"]) == ("late", "first", None)
