@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,33 @@ def test_probabilities_sum_to_at_most_one():
     assert 0.5 < p.sum() <= 1 and p[0] == p.max()
 
 
+def test_so_far_counts_are_of_the_whole_table_in_every_unit(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CUT", 8)
+    monkeypatch.setattr(language_model, "EVERY", 2)
+    words = [b"", b"a", b"ab", b"ab\x01", b"http", b"https", *(b"https://%d.org/%d" % (i % 7, i) for i in range(300)), *(b"%08d" % i for i in range(200))]
+    counts = {w: i % 5 for i, w in enumerate(words)}
+    table = spark.createDataFrame(list(counts.items()), "word binary, c long").repartition(3)
+    want, seen = Counter(), []
+    for w, c in counts.items():
+        code = w + b" " if w else b"\n"
+        for i, byte in enumerate(code):
+            for level in range(8):
+                want[code[:i], byte >> (8 - level), level, byte >> (7 - level) & 1] += c
+    rows = language_model.ready(language_model.units(table)).collect()
+    for words, counts, depth, so_far in language_model.whole_units([pa.RecordBatch.from_pylist([r.asDict() for r in rows])]):
+        seen += words
+        at = 0
+        for w in words:
+            code = w + b" " if w else b"\n"
+            for i, byte in enumerate(code):
+                for level in range(8):
+                    got = so_far(level, slice(at, at + 1), np.array([i >= 4]))
+                    for bit in (0, 1):
+                        assert i < 4 or got[bit][0] == want[code[:i], byte >> (8 - level), level, bit]
+                at += 1
+    assert len(rows) > 10 and sorted(seen) == sorted(c for c in map(bytes, (r.word for r in table.collect())))
+
+
 # ------------------------------------------------------------------ pipeline
 
 
