@@ -222,6 +222,16 @@ def test_so_far_counts_are_of_the_whole_table_in_every_unit(spark, monkeypatch):
     assert len(rows) > 10 and sorted(seen) == sorted(c for c in map(bytes, (r.word for r in table.collect())))
 
 
+def test_words_of_one_long_prefix_make_bounded_units(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "UNIT_WORDS", 100)
+    monkeypatch.setattr(language_model, "UNIT_BYTES", 2000)
+    words = [b"https://" + b"%d" % i * (1 + i % 9) for i in range(3000)] + [b"00000000%d" % i for i in range(2000)] + [b"x" * 5000]
+    table = spark.createDataFrame([(w, 1) for w in words], "word binary, c long")
+    rows = language_model.units(table).collect()
+    assert all(len(r.words) <= 100 and (len(r.words) == 1 or sum(len(w) + 1 for w in r.words) <= 2000) for r in rows)
+    assert sorted(bytes(w) for r in rows for w in r.words) == sorted(words) and len({r.unit for r in rows}) == len(rows)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
