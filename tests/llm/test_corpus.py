@@ -232,6 +232,36 @@ def test_words_of_one_long_prefix_make_bounded_units(spark, monkeypatch):
     assert sorted(bytes(w) for r in rows for w in r.words) == sorted(words) and len({r.unit for r in rows}) == len(rows)
 
 
+def test_counts_of_orders_two_and_three_are_exact_and_bits_per_byte_returned(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "CUT", 8)
+    rng = np.random.default_rng(2)
+    words = {bytes(rng.integers(33, 256, rng.integers(1, 9)).astype(np.uint8).tolist()) for _ in range(2000)}
+    counts = {w: 1 + i % 3 for i, w in enumerate(sorted(words))}
+    want = [Counter(), Counter()]
+    for w, c in counts.items():
+        for i, byte in enumerate(w + b" "):
+            for level in range(8):
+                for kind in (0, 1):
+                    want[kind][(b"\0\0\0" + w)[i + 1 - kind : i + 3], byte >> (8 - level), level, byte >> (7 - level) & 1] += c
+    table = spark.createDataFrame(list(counts.items()), "word binary, c long")
+    rows = language_model.ready(language_model.units(table)).collect()
+    for some, _, depth, found in language_model.whole_units([pa.RecordBatch.from_pylist([r.asDict() for r in rows])]):
+        at = 0
+        for w in some:
+            for i, byte in enumerate(w + b" "):
+                for level in range(8):
+                    got = found.all(level, slice(at, at + 1), np.array([True]))
+                    for kind in (0, 1):
+                        key = (b"\0\0\0" + w)[i + 1 - kind : i + 3], byte >> (8 - level), level
+                        assert [x[0] for x in got[kind]] == [want[kind][*key, 0], want[kind][*key, 1]]
+                at += 1
+    assert len(rows) > 5
+    docs = spark.createDataFrame([(1, "Aé b"), (2, ""), (3, None)], "doc_id long, text string")
+    scored = {r.doc_id: r for r in language_model.score(docs).collect()}
+    assert scored[1].bits_per_byte == pytest.approx(-scored[1].score / math.log10(2) / 5)
+    assert scored[2].bits_per_byte is None and scored[3].bits_per_byte is None
+
+
 # ------------------------------------------------------------------ pipeline
 
 
