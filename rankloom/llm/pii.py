@@ -4,8 +4,10 @@ Base patterns find e-mail addresses, IP addresses, card and phone numbers.  The
 what they miss: every token with a digit or ``@`` is a node, neighbouring tokens form a
 chain, and distant tokens that repeat each other (same characters, or the same digits) are
 joined by skip edges that reward equal labels, so a number once seen in full form is found
-again where it stands without its prefix.  Loopy sum-product message passing runs over all
-documents of a batch at once.
+again where it stands without its prefix.  Two occurrences share one edge; of three and more,
+each is tied to a hub node of its own (no evidence, no span), so that any two repeats are two
+edges apart, however many there are.  Loopy sum-product message passing runs over all documents
+of a batch at once.
 
 Weights are learned here: node weights by softmax regression, chain and skip potentials by
 smoothed pair counts, from the tokens of at most ``SAMPLE_DOCS`` documents labelled by the
@@ -141,12 +143,13 @@ def features(tokens: list[tuple[int, int, str]], follows: list[bool]) -> np.ndar
 
 @dataclass
 class Graph:
-    """Nodes of one document, chain edges (i-1, i) and skip edges between repeats."""
+    """Nodes of one document, chain edges (i-1, i) and skip edges between repeats; hubs are numbered after the tokens."""
 
     tokens: list
     feats: np.ndarray
     chain: list
     skip: list
+    hubs: int = 0
 
 
 def graph_of(text: str) -> Graph:
@@ -158,12 +161,30 @@ def graph_of(text: str) -> Graph:
         keys = {("text", token.lower())} if len(token) >= 5 else set()
         if len(digits) >= 5:
             keys.add(("digits", digits[-7:]))
-        for key in keys:  # each occurrence with the one before: edges stay linear in the repeats
-            if key in seen and (seen[key], i) not in skip[-2:]:
-                skip.append((seen[key], i))
-            seen[key] = i
+        for key in keys:
+            seen.setdefault(key, []).append(i)
+    hubs = len(tokens)
+    for places in sorted({tuple(p) for p in seen.values() if len(p) > 1}):
+        if len(places) == 2:
+            skip.append(places)
+        else:  # edges stay linear in the repeats
+            skip += [(i, hubs) for i in places]
+            hubs += 1
     chain = [(i - 1, i) for i in range(1, len(tokens)) if follows[i]]
-    return Graph(tokens, features(tokens, follows), chain, skip)
+    return Graph(tokens, features(tokens, follows), chain, skip, hubs - len(tokens))
+
+
+def repeats(graph: Graph) -> list:
+    """Each occurrence of a repeated token with the one before."""
+    out, last = [], {}
+    for a, b in graph.skip:
+        if b < len(graph.tokens):
+            out.append((a, b))
+        else:
+            if b in last:
+                out.append((last[b], a))
+            last[b] = a
+    return sorted(set(out))
 
 
 def labels_of(tokens: list, spans: list) -> list[int]:
@@ -199,7 +220,7 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, steps: int
                 graph = graph_of(body)
                 y = labels_of(graph.tokens, base_spans(body))
                 n = 400  # tokens of one document in the sample
-                pairs = [[(y[a], y[b]) for a, b in edges if b < n] for edges in (graph.chain, graph.skip)]
+                pairs = [[(y[a], y[b]) for a, b in edges if b < n] for edges in (graph.chain, repeats(graph))]
                 flat = [[len(LABELS) * a + b for a, b in p] for p in pairs]
                 yield graph.feats[:n].ravel().tolist(), y[:n], *flat
 
@@ -235,11 +256,12 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, steps: int
 
 def marginals(graphs: list[Graph], field: Field) -> list[np.ndarray]:
     """Node marginals of all documents of a batch after ``ROUNDS`` of loopy message passing."""
-    sizes = [len(g.tokens) for g in graphs]
+    sizes = [len(g.tokens) + g.hubs for g in graphs]
     starts = np.cumsum([0, *sizes])
     n, k = int(starts[-1]), len(LABELS)
-    feats = np.concatenate([g.feats for g in graphs]) if graphs else np.zeros((0, 6), int)
-    unary = field.weights[feats].sum(axis=1)
+    unary = np.zeros((n, k))
+    for g, s in zip(graphs, starts):
+        unary[s : s + len(g.tokens)] = field.weights[g.feats].sum(axis=1)
     unary -= unary.max(axis=1, keepdims=True) if n else 0
     edges = [(s + a, s + b, t) for g, s in zip(graphs, starts) for t, e in enumerate((g.chain, g.skip)) for a, b in e]
     belief = unary
@@ -260,7 +282,7 @@ def marginals(graphs: list[Graph], field: Field) -> list[np.ndarray]:
             belief = unary + into
     p = np.exp(belief - belief.max(axis=1, keepdims=True)) if n else np.zeros((0, k))
     p /= p.sum(axis=1, keepdims=True) if n else 1
-    return [p[a:b] for a, b in zip(starts, starts[1:])]
+    return [p[a : a + len(g.tokens)] for g, a in zip(graphs, starts)]
 
 
 def field_spans(graph: Graph, p: np.ndarray, base: list) -> list[tuple[int, int, str, int]]:

@@ -127,6 +127,14 @@ def test_skip_chain_finds_a_repeated_number(spark, small):
     assert spans[0].count("phone:") == 2 and spans[1] == ""
 
 
+def test_all_of_fifty_repeats_are_found(spark):
+    text = "Call +1 (555) 010-9999 now. " + "".join("word " * 20 + "again: (555) 010-9999 thanks " for _ in range(50))
+    docs = spark.createDataFrame([(0, text), (1, "no data 12 here 2024")], "doc_id long, text string")
+    field = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    spans = {r.doc_id: r.spans for r in pii.scan(docs, field).collect()}
+    assert spans[0].count("phone:") == 51 and spans[1] == ""
+
+
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(1)
     k, n = len(pii.LABELS), 4
