@@ -5,8 +5,10 @@ neighbour arrays (one table row per shard): on every level a node links to a div
 of its nearest nodes on that level, and back.  Queries enter at the top level and walk with
 a beam; the shards' results are scored again in double precision and merged.
 
-Inner products are made navigable by one more coordinate that gives all vectors the same
-norm, so that the largest product is the nearest point.
+Inner products are made navigable by one more coordinate that gives all vectors of a shard the
+same norm, so that the largest product is the nearest point.  A shard holds vectors of one norm
+band only (norms within a factor of 16), so a long vector leaves no others too short to be told
+apart; links are chosen in double precision, and every query searches all bands.
 
 Equal vectors are one node with its smallest ids (as many as one result can hold), found by
 ranking in Spark, so a vector that a third of the rows share is never gathered.  Shards hold
@@ -36,6 +38,7 @@ BEAM = 160
 WIDTH = 4  # beam nodes expanded at once
 SHARD_ROWS = 32_768
 MIN_SHARDS = 8
+BAND = 4  # octaves of norm in one shard
 QUERY_ROWS = 1024
 
 
@@ -179,17 +182,24 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
     fewest = Window.partitionBy("v").orderBy("id")
     nodes = rows.withColumn("n", F.row_number().over(fewest)).where(F.col("n") <= k + 1)
     nodes = nodes.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    nodes = nodes.withColumn("square", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).withColumn("dim", F.size("v"))
+    nodes = nodes.withColumn("dim", F.size("v")).withColumn("largest", F.array_max(F.transform("v", F.abs)))
+    # scaled before squaring: no norm overflows or vanishes
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("largest")) * (x / F.col("largest")))
+    nodes = nodes.withColumn("band", F.floor((F.log2("largest") + F.log2(square) / 2) / BAND).cast("int")).drop("largest")
     nodes = stored(nodes, "nearest-nodes")
-    sizes = nodes.agg(F.count("*").alias("n"), F.max("square").alias("square")).first()
-    shards = max(MIN_SHARDS, -(-sizes["n"] // SHARD_ROWS))
-    norm = float(sizes["square"] or 1.0)
+    sizes = {r["band"]: r["n"] for r in nodes.groupBy("band").agg(F.count("*").alias("n")).collect()}  # 525 bands at most
+    total, shards, bands = sum(sizes.values()), 0, []
+    for band, n in sorted(sizes.items()):
+        bands.append((band, shards, max(-(-n // SHARD_ROWS), -(-MIN_SHARDS * n // total))))
+        shards += bands[-1][2]
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))  # any order of arrival gives one graph
         exact = np.stack(pdf["v"].to_numpy())
-        more = np.sqrt(np.maximum(0.0, norm - pdf["square"].to_numpy()))
-        points = (np.column_stack([exact, more]) / math.sqrt(norm)).astype(np.float32)
+        scaled = exact / np.abs(exact).max()
+        squares = (scaled * scaled).sum(axis=1)
+        more = np.sqrt(np.maximum(0.0, squares.max() - squares))
+        points = np.column_stack([scaled, more]) / math.sqrt(squares.max())
         levels = build(points)
         ids = pdf["ids"].tolist()
         flat = [x.astype("<i4").tobytes() for level in levels for x in level]
@@ -201,8 +211,9 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
             }
         )
 
-    shard = F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")
-    graphs = nodes.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(
+    placed = nodes.join(F.broadcast(spark.createDataFrame(bands, "band int, first int, parts int")), "band")
+    shard = F.col("first") + F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    graphs = placed.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(
         index, "dim int, shard int, vectors binary, points binary, levels array<binary>, sizes array<int>, ids binary"
     )
     graphs = stored(graphs, "nearest-graphs")
@@ -211,7 +222,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // QUERY_ROWS))
     packed = queries.groupBy("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    packed = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "q")
+    packed = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"), "block", "q")
 
     def find(batches):
         for batch in batches:
@@ -226,7 +237,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
                 own, qs = np.array([x["id"] for x in row["q"]]), np.array([x["v"] for x in row["q"]], np.float64)
                 for at in range(0, len(qs), 128):
                     part = qs[at : at + 128]
-                    unit = part / np.linalg.norm(part, axis=1, keepdims=True)
+                    unit = part / np.abs(part).max(axis=1, keepdims=True)
+                    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                     nodes = search(points, levels, np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32))
                     for i, found in enumerate(nodes):
                         found = found[found >= 0]

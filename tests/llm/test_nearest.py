@@ -54,3 +54,12 @@ def test_unequal_norms_and_unusual_rows(spark):
     assert recall(got, want) >= 0.95
     assert [v for v, _ in got[1000]] == [v for v, _ in want[1000]]  # ties go to smaller ids
     assert nearest.nearest(df.limit(0), QUERY).count() == 0
+
+
+def test_norm_outliers_leave_recall_as_it_is(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(2000)]
+    rows += [(2001, (rng.normal(size=16) * 1e6).tolist()), (2002, (rng.normal(size=16) * 1e200).tolist()), (2003, (rng.normal(size=16) * 1e-200).tolist())]
+    got, want = lists(nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), QUERY)), brute(rows)
+    assert got.keys() == want.keys()
+    assert recall(got, want) >= 0.95
