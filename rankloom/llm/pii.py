@@ -10,8 +10,9 @@ edges apart, however many there are.  Loopy sum-product message passing runs ove
 of a batch at once.
 
 Weights are learned here: node weights by softmax regression, chain and skip potentials by
-smoothed pair counts, from the tokens of at most ``SAMPLE_DOCS`` documents labelled by the
-base patterns.
+smoothed pair counts, from all tokens of all documents as the base patterns label them: nodes
+of equal features and label, and pairs of equal labels, are counted in Spark (a few thousand
+rows at any size), so the field depends on the rows only, never on their order.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; an
 empty table gives an empty result (the field then has zero weights and adds nothing).
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,9 +45,6 @@ WORD = re.compile(WORD_PATTERN)
 NODE = re.compile(r"[0-9@]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Bounds of the training sample (documents that hold a digit or "@") and its tokens.
-SAMPLE_DOCS = 1500
-SAMPLE_TOKENS = 40_000
 ROUNDS = 6
 DAMPING = 0.3
 #: Least marginal of a label for a span of the field's own.
@@ -210,26 +209,31 @@ class Field:
     skip: np.ndarray  # log potentials of labels of repeats
 
 
-def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, steps: int = 300) -> Field:
-    """Learn the field from at most ``rows`` documents with a digit or "@"."""
+def fit(docs: DataFrame, text: str = "text", steps: int = 300) -> Field:
+    """Learn the field from all documents with a digit or "@"."""
 
-    def sample(batches):
+    def count(batches):
+        seen = Counter()
         for (raws,) in batches:
             for raw in raws:
                 body = raw.decode("utf-8", "replace")
                 graph = graph_of(body)
                 y = labels_of(graph.tokens, base_spans(body))
-                n = 400  # tokens of one document in the sample
-                pairs = [[(y[a], y[b]) for a, b in edges if b < n] for edges in (graph.chain, repeats(graph))]
-                flat = [[len(LABELS) * a + b for a, b in p] for p in pairs]
-                yield graph.feats[:n].ravel().tolist(), y[:n], *flat
+                seen.update((0, *x, label) for x, label in zip(graph.feats.tolist(), y))
+                for kind, edges in ((1, graph.chain), (2, repeats(graph))):
+                    seen.update((kind, len(LABELS) * y[a] + y[b]) for a, b in edges)
+        for key, n in seen.items():
+            yield list(key), n
 
     bound_batches(docs.sparkSession)
-    some = docs.select(utf8(text)).where(F.col(text).cast("string").rlike("[0-9@]")).where(F.pmod(F.xxhash64(text), F.lit(4)) == 0).limit(rows)
-    found = map_rows(some, sample, "x array<int>, y array<int>, chain array<int>, skip array<int>").collect()
+    some = docs.select(utf8(text)).where(F.col(text).cast("string").rlike("[0-9@]"))
+    found = map_rows(some, count, "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    found = sorted((tuple(r["key"]), r["n"]) for r in found)
     k = len(LABELS)
-    x = np.array([v for r in found for v in r["x"]], np.int64).reshape(-1, 6)[:SAMPLE_TOKENS]
-    y = np.array([v for r in found for v in r["y"]], np.int64)[:SAMPLE_TOKENS]
+    nodes = [(key, n) for key, n in found if key[0] == 0]
+    x, y = np.array([key[1:-1] for key, _ in nodes], np.int64).reshape(-1, 6), np.array([key[-1] for key, _ in nodes], np.int64)
+    share = np.array([n for _, n in nodes], np.float64)[:, None]
+    share /= max(share.sum(), 1.0)
     if not len(y):
         return Field(np.zeros((WIDTH, k)), np.zeros((k, k)), np.zeros((k, k)))
     weights, want = np.zeros((WIDTH, k)), np.eye(k)[y]
@@ -239,16 +243,20 @@ def fit(docs: DataFrame, text: str = "text", rows: int = SAMPLE_DOCS, steps: int
         p /= p.sum(axis=1, keepdims=True)
         grad = np.zeros_like(weights)
         for j in range(x.shape[1]):
-            np.add.at(grad, x[:, j], want - p)
-        weights += 1.0 * grad / len(y) * 2.0 - 1e-4 * weights
-
-    def pair(name):
-        seen = np.bincount(np.array([v for r in found for v in r[name]], np.int64), minlength=k * k).reshape(k, k) + 0.5
+            np.add.at(grad, x[:, j], share * (want - p))
+        weights += 2.0 * grad - 1e-4 * weights
+
+    def pair(kind):
+        seen = np.full(k * k, 0.5)
+        for key, n in found:
+            if key[0] == kind:
+                seen[key[1]] += n
+        seen = seen.reshape(k, k)
         joint = seen / seen.sum()
         return np.clip(np.log(joint / joint.sum(axis=1, keepdims=True) / joint.sum(axis=0)), -3.0, 3.0)
 
     same = np.log(np.eye(k) * 3 + 1)  # repeats agree, before any evidence
-    return Field(weights, pair("chain") / 2, (pair("skip") + pair("skip").T) / 4 + same)
+    return Field(weights, pair(1) / 2, (pair(2) + pair(2).T) / 4 + same)
 
 
 # ---------------------------------------------------------------- inference

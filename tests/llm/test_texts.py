@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.conftest import compare
 
 from rankloom.llm import bpe, licenses, pii, quality_model, quality_rules, secret_scan
@@ -135,6 +136,18 @@ def test_all_of_fifty_repeats_are_found(spark):
     assert spans[0].count("phone:") == 51 and spans[1] == ""
 
 
+def test_field_is_learned_from_all_rows_in_any_order(spark):
+    plain = [(i, f"year {1000 + i} and item {i} here") for i in range(9000)]
+    rows = plain + [(9000 + i, f"mail a{i}@example.com from 10.0.{i % 200}.7 " + "7 " * 500 + "+1 (555) 010-9999") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = pii.fit(docs.coalesce(1)), pii.fit(docs.orderBy(F.desc("doc_id")).repartition(7))
+    for x, y in ((a.weights, b.weights), (a.chain, b.chain), (a.skip, b.skip)):
+        assert np.array_equal(x, y)
+    shape = a.weights[1 + pii.shape("a1@example.com")]  # a kind of the last rows only is known
+    assert shape.argmax() == 1
+    assert a.weights[1 + pii.shape("+1")].argmax() == 4  # as is one beyond a text's first 400 tokens
+
+
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(1)
     k, n = len(pii.LABELS), 4
