@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import bpe, language_model, licenses, mixing, near_copies, nearest, pii, quality_model, quality_rules, secret_scan
+from rankloom.llm import bpe, centroids, divergence, language_model, licenses, mixing, near_copies, nearest, pii, quality_model, quality_rules, secret_scan, spot_signatures
 from rankloom.llm.common import table
 
 try:  # the vocabulary files' folder is the box's; the path is a parameter everywhere else
@@ -59,6 +59,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spot_signatures.edited_report(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_language_model": op9_language_model,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spot_signatures": op11_spot_signatures,
+    "op12_divergence": op12_divergence,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op12_divergence": divergence.SQL,
+    "op13_centroids": centroids.oracle_sql(),
+}
