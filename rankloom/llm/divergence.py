@@ -13,8 +13,8 @@ ordered table is run-length encoded, the run boundaries of every pair of columns
 intersected, and f is computed once per common run and multiplied by its length.  Pieces
 only cut runs, so their sums add up to the whole.
 
-Scale: counts are combined in the map tasks, then by (language, source, term); only kept
-terms go on.  Equal rows are combined before the ordering, so a row that millions of terms
+Scale: counts are combined in the map tasks and written once; their sums by term choose the kept
+terms, and only these terms' counts by source go on, summed before and after the shuffle.  Equal rows are combined before the ordering, so a row that millions of terms
 share is one; pieces are Arrow batches.  What grows without bound is only the number of pairs of
 sources, which is the result itself.  Nothing is collected and nothing is broadcast by hand.
 
@@ -33,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import bound_batches, by_value, map_rows, stored, utf8
+from rankloom.llm.common import bound_batches, by_value, stored, utf8
 
 by_value(__name__)
 
 MIN_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
-#: Distinct terms that a task holds before it hands its counts on.
-HELD_TERMS = 300_000
+#: Distinct (source, term) pairs that a task holds before it hands its counts on.
+HELD_TERMS = 500_000
+COUNT = [pa.field("source", pa.string()), pa.field("n", pa.int64())]
 #: Bytes of terms: letters in lower case, everything beyond ASCII as it stands, the rest a gap.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -51,35 +52,56 @@ def terms(raw: bytes) -> list[bytes]:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``term``, its occurrences ``n`` and documents ``docs`` there."""
+    """``lang``, ``term``, its documents ``docs`` and occurrences ``in_lang`` and, by source, ``counts``; one or more
+    rows for a term, each from as many documents as a task could combine."""
+    target = pa.schema(
+        [("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("in_lang", pa.int64()), ("counts", pa.list_(pa.struct(COUNT)))]
+    )
 
-    def run(batches):
-        occurrences, documents, held = {}, {}, 0
+    def combined(lang, groups):
+        """Counters by source to one row per term."""
+        names = list(groups)
+        lengths = [len(groups[s][0]) for s in names]
+        table = pa.table(
+            {
+                "term": pa.concat_arrays([pa.array(list(groups[s][0]), pa.binary()) for s in names]),
+                "docs": pa.array([groups[s][1][t] for s in names for t in groups[s][0]], pa.int64()),
+                "n": pa.concat_arrays([pa.array(list(groups[s][0].values()), pa.int64()) for s in names]),
+                "s": pa.array(np.repeat(np.arange(len(names), dtype=np.int32), lengths)),
+            }
+        )
+        rows = table.group_by("term", use_threads=False).aggregate([("docs", "sum"), ("n", "sum"), ("n", "list"), ("s", "list")]).combine_chunks()
+        if not len(rows):
+            return
+        n, s = rows.column("n_list").chunk(0), rows.column("s_list").chunk(0)
+        cells = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(s.values), n.values], fields=COUNT)
+        counts = pa.ListArray.from_arrays(n.offsets, cells)
+        columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(rows), np.int32)))]
+        columns += [rows.column(c).chunk(0).cast(t) for c, t in (("term", pa.string()), ("docs_sum", pa.int64()), ("n_sum", pa.int64()))]
+        whole = pa.RecordBatch.from_arrays([*columns, counts], schema=target)
+        yield from (whole.slice(at, 20_000) for at in range(0, len(whole), 20_000))
 
-        def flush():
-            for group, counts in occurrences.items():
-                inside = documents[group]
-                for term, n in counts.items():
-                    yield *group, term.decode("utf-8", "replace"), n, inside[term]
+    def run(batches):
+        held, size = {}, 0
 
-        for langs, sources, raws in batches:
-            for lang, source, raw in zip(langs, sources, raws):
+        for batch in batches:
+            for lang, source, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 words = terms(raw)
-                group = (lang, source)
-                counts = occurrences.setdefault(group, Counter())
-                before = len(counts)
-                counts.update(words)
-                documents.setdefault(group, Counter()).update(set(words))
-                held += len(counts) - before
-                if held > HELD_TERMS:
-                    yield from flush()
-                    occurrences, documents, held = {}, {}, 0
-        yield from flush()
+                occurrences, documents = held.setdefault(lang, {}).setdefault(source, (Counter(), Counter()))
+                before = len(occurrences)
+                occurrences.update(words)
+                documents.update(set(words))
+                size += len(occurrences) - before
+                if size > HELD_TERMS:
+                    for lang, groups in held.items():
+                        yield from combined(lang, groups)
+                    held, size = {}, 0
+        for lang, groups in held.items():
+            yield from combined(lang, groups)
 
     bound_batches(docs.sparkSession)
     named = docs.select(group_key("lang"), group_key("source"), utf8())
-    parts = map_rows(named, run, "lang string, source string, term string, n long, docs long", rows=20_000)
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return named.mapInArrow(run, "lang string, term string, docs long, in_lang long, counts array<struct<source:string,n:long>>")
 
 
 def group_key(name: str) -> Column:
@@ -152,12 +174,11 @@ def pair_sums(batches):
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """``lang``, ``source``, ``part`` (pair or term), ``item``, ``value`` and ``rank`` of every group."""
-    counted = term_counts(docs)
-    every = counted.groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("in_lang"), F.collect_list(F.struct("source", "n")).alias("counts")
-    )  # one entry per source
+    parts = stored(term_counts(docs), "term-parts")
+    every = parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("in_lang").alias("in_lang"))
     vocabulary = stored(every.where(F.col("docs") >= min_docs).drop("docs"), "vocabulary")
-    entries = vocabulary.select("lang", "term", "in_lang", F.inline("counts"))
+    entries = parts.select("lang", "term", "counts").join(vocabulary, ["lang", "term"]).select("lang", "term", "in_lang", F.inline("counts"))
+    entries = stored(entries.groupBy("lang", "source", "term", "in_lang").agg(F.sum("n").alias("n")), "entries")
 
     sizes = entries.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     kept = vocabulary.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("in_lang").alias("lang_total"))
