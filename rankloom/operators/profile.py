@@ -188,13 +188,14 @@ def profiles_from_json(
     keep: tuple[str, ...] = (),
     signals_field: str = DEFAULT_SIGNALS_FIELD,
     row_id: str | None = None,
+    row_id_in_text: bool = True,
 ) -> DataFrame:
-    """Profiles of raw JSON records.  ``row_id`` joins the text, as a field of the record would."""
+    """Profiles of raw JSON records.  ``row_id`` names records without an id and, with ``row_id_in_text``, joins the text as a field would."""
     if "v" not in df.columns:
         df = parse_records(df, raw)
     row = F.col(row_id) if row_id else None
     body = J.json_text(F.col(raw))
-    text = F.concat_ws(" ", body, row.cast("string")) if row is not None else body
+    text = F.concat_ws(" ", body, row.cast("string")) if row is not None and row_id_in_text else body
     kept = [F.col(c) for c in keep]
     v = F.col("v")
     fallback = J.resolve_paths(v, schema_map["skills"])

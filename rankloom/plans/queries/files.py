@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rankloom import constants as C
 from rankloom.functions.json_text import json_text
 from rankloom.jobs import JOB_SCHEMA
-from rankloom.operators import reports
+from rankloom.operators import reports, topk
 from rankloom.plans import oracle as O
 
 from rankloom.plans.fixtures import CANDIDATE_JOBS
@@ -83,47 +83,85 @@ def _(spark, sf):
     return found.select(json_text(short).alias("text"), (F.length(note) - 12).alias("n_summary"))
 
 
+def _nation_lines(spark, sf) -> str:
+    """One file per nation with a line per customer in key order; every tenth line is blank, every seventh broken."""
+    path = scratch(spark, "lines")
+    rows = table(spark, sf, "customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    good = F.to_json(F.struct("c_custkey", "c_acctbal"))
+    line = F.when(F.col("c_custkey") % 10 == 0, F.lit("")).when(F.col("c_custkey") % 7 == 0, F.lit('{"c_custkey": ')).otherwise(good)
+    dealt = rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    dealt.select(F.col("c_nationkey").alias("nation"), line.alias("value")).write.partitionBy("nation").text(path)
+    return path
+
+
+def _nation(df):
+    return df.withColumn("nation", F.regexp_extract("source_file", r"nation=(\d+)", 1).cast("int"))
+
+
+def _cut_fine(spark, plan):
+    """Run ``plan`` over splits of 2 KB, so that files have many, and give its rows."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before, out = spark.conf.get(name), scratch(spark, "rows")
+    spark.conf.set(name, "2048")
+    try:
+        plan().write.parquet(out)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(out)
+
+
+_LINES = "l AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line, c_custkey % 10 = 0 AS blank, c_custkey % 10 <> 0 AND c_custkey % 7 = 0 AS broken FROM customer)"
+
+
+@query("row_id_line", f"WITH {_LINES} SELECT c_nationkey AS nation, c_custkey AS key, line AS row_id FROM l WHERE NOT blank AND NOT broken")
+def _(spark, sf):
+    path = _nation_lines(spark, sf)
+    key = F.try_variant_get("v", "$.c_custkey", "long").alias("key")
+    return _cut_fine(spark, lambda: _nation(readers.read_jsonl(spark, path, mode="DROP")).select("nation", key, "row_id"))
+
+
 @query(
-    "row_id_line",
-    "SELECT count(*) AS n_lines, 0 AS n_gaps, true AS from_one FROM customer",
+    "line_offset",
+    f"""WITH {_LINES}, best AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, line) AS place FROM l WHERE NOT blank AND NOT broken)
+SELECT c_nationkey AS nation, c_custkey AS key, line AS row_id, n AS n_lines FROM best JOIN (SELECT c_nationkey, count(*) AS n FROM l GROUP BY c_nationkey) USING (c_nationkey) WHERE place <= 3""",
 )
 def _(spark, sf):
-    lines = readers.with_line_numbers(readers.read_lines(spark, _write_lines(spark, sf, "lines")))
-    per_file = lines.groupBy("source_file").agg(
-        F.count("*").alias("n"), F.count_distinct("row_id").alias("d"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")
-    )
-    return per_file.agg(
-        F.sum("n").alias("n_lines"),
-        F.sum(F.col("hi") - F.col("n") + F.col("n") - F.col("d")).cast("int").alias("n_gaps"),
-        (F.min("lo") == 1).alias("from_one"),
-    )
+    """Line numbers for a shortlist only: places go through the cut, the counts of splits join what is left."""
+    path = _nation_lines(spark, sf)
+
+    def plan():
+        records = _nation(readers.read_jsonl(spark, path, mode="DROP", late_ids=True))
+        rows = records.select(
+            "nation", *readers.PLACE, F.try_variant_get("v", "$.c_custkey", "long").alias("key"), F.try_variant_get("v", "$.c_acctbal", "double").alias("score")
+        )
+        best = topk.top_k(rows, 3, [F.desc("score"), F.asc("split_start"), F.asc("split_row")], ["nation"])
+        offsets = readers.line_offsets(readers.read_lines(spark, path))
+        totals = _nation(offsets).groupBy("nation").agg(F.max(F.col("line_offset") + F.col("n")).alias("n_lines"))
+        return readers.number_lines(best, offsets).join(totals, "nation").select("nation", "key", "row_id", "n_lines")
+
+    return _cut_fine(spark, plan)
 
 
 @query(
     "row_id_dense",
-    "SELECT count(*) AS n, 1::BIGINT AS first_id, count(*) AS last_id, count(*) AS n_ids FROM documents",
+    f"WITH {_LINES} SELECT c_nationkey AS nation, c_custkey AS key, row_number() OVER (PARTITION BY c_nationkey ORDER BY line) AS row_id FROM l WHERE NOT blank AND NOT broken",
 )
 def _(spark, sf):
-    rows = readers.number_rows(table(spark, sf, "documents").select("doc_id"))
-    return rows.agg(
-        F.count("*").alias("n"),
-        F.min("row_id").alias("first_id"),
-        F.max("row_id").alias("last_id"),
-        F.count_distinct("row_id").alias("n_ids"),
-    )
+    path = _nation_lines(spark, sf)
+    key = F.try_variant_get("v", "$.c_custkey", "long").alias("key")
+    return _cut_fine(spark, lambda: _nation(readers.read_jsonl(spark, path, mode="DROP", dense_ids=True)).select("nation", key, "row_id"))
 
 
-@query(
-    "bad_record_policy",
-    "SELECT count(*) FILTER (WHERE c_custkey % 2 = 0) AS n_good, count(*) FILTER (WHERE c_custkey % 2 = 1) AS n_bad FROM customer",
-)
+@query("bad_record_policy", f"WITH {_LINES} SELECT c_nationkey AS nation, line AS row_id, broken AS is_bad FROM l WHERE NOT blank")
 def _(spark, sf):
-    path = scratch(spark, "bad")
-    broken = F.when(F.col("key") % 2 == 1, F.substring("raw", 1, 40)).otherwise(F.col("raw"))
-    candidates_json(spark, sf).select(broken.alias("value")).write.text(path)
-    good = readers.read_jsonl(spark, path, mode="DROP").select(F.lit(1).alias("g"), F.lit(0).alias("b"))
-    bad = readers.quarantine(spark, path).select(F.lit(0), F.lit(1))
-    return good.unionAll(bad).agg(F.sum("g").alias("n_good"), F.sum("b").alias("n_bad"))
+    path = _nation_lines(spark, sf)
+
+    def plan():
+        good = readers.read_jsonl(spark, path, mode="DROP").select("source_file", "row_id", F.lit(False).alias("is_bad"))
+        bad = readers.quarantine(spark, path).select("source_file", "row_id", F.lit(True).alias("is_bad"))
+        return _nation(good.unionByName(bad)).select("nation", "row_id", "is_bad")
+
+    return _cut_fine(spark, plan)
 
 
 @query("scan_job_text", "SELECT item_id, md5(text) AS digest FROM benchmark")

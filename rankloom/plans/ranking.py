@@ -14,7 +14,10 @@ from rankloom.jobs import JobSpec, job_batches
 from rankloom.operators import features, reports, topk
 from rankloom.operators.profile import DEFAULT_SIGNALS_FIELD, profiles_from_columns, profiles_from_json
 from rankloom.operators.schema_map import SchemaMap
-from rankloom.sources.readers import read_jsonl
+from rankloom.sources.readers import PLACE, line_offsets, number_lines, read_jsonl, read_lines
+
+#: Begins the stand-in for a line number; no id of a record starts with it.
+PLACE_MARK = "\x00line "
 
 # what the shortlist needs later; text and token arrays stay behind in the scan stage
 CARRIED = (
@@ -116,13 +119,14 @@ def rank_json(
     *,
     raw: str = "raw",
     row_id: str | None = None,
+    row_id_in_text: bool = True,
     signals_field: str = DEFAULT_SIGNALS_FIELD,
     **options,
 ) -> RankingResult:
     """Rank a table of raw JSON records."""
     extra = tuple(c for c in ("retrieval_score", *options.get("keep", ())) if c in df.columns)
     profiles = profiles_from_json(
-        df, schema_map, raw=raw, keep=extra, signals_field=signals_field, row_id=row_id
+        df, schema_map, raw=raw, keep=extra, signals_field=signals_field, row_id=row_id, row_id_in_text=row_id_in_text
     )
     return rank(profiles, jobs, schema_map, **options)
 
@@ -134,16 +138,37 @@ def rank_files(
     schema: dict | SchemaMap,
     *,
     mode: str = "FAILFAST",
+    late_ids: bool = False,
     **options,
 ) -> RankingResult:
     """Rank JSONL files (plain or gzip) under a JSON Schema document or a schema map.
 
     ``mode`` says what malformed lines do: stop the job with their line number (``FAILFAST``)
     or stay out (``DROP``; ``readers.quarantine`` lists them).
+
+    Line numbers stand in for missing ids and are part of the record's text.  With ``late_ids`` they are not:
+    the records are scored in one scan under their place in the input, and only the ranked rows
+    learn their line numbers (column ``row_id``), from counts per split.
     """
     schema_map = schema if isinstance(schema, SchemaMap) else SchemaMap.from_json_schema(spark, schema)
-    records = read_jsonl(spark, path, mode=mode)
-    return rank_json(records, jobs, schema_map, row_id="row_id", **options)
+    records = read_jsonl(spark, path, mode=mode, late_ids=late_ids)
+    if not late_ids:
+        return rank_json(records, jobs, schema_map, row_id="row_id", **options)
+    # a name that sorts like the line it stands for, replaced as soon as rows are few
+    width = [F.lpad(F.col(c).cast("string"), 20, "0") for c in PLACE[1:]]
+    records = records.withColumn("_place", F.concat(F.lit(PLACE_MARK), *width))
+    keep = (*PLACE, *options.pop("keep", ()))
+    k_export = options.pop("k_export", C.TOP_K_EXPORT)
+    found = rank_json(records, jobs, schema_map, row_id="_place", row_id_in_text=False, keep=keep, **options)
+    offsets = line_offsets(read_lines(spark, path))
+    ranked = named_by_line(number_lines(found.ranked, offsets))
+    return RankingResult(schema_map, found.jobs, found.scored, ranked, reports.export_rows(ranked, k_export))
+
+
+def named_by_line(rows: DataFrame) -> DataFrame:
+    """Line numbers in place of the stand-ins for them."""
+    named = {c: F.when(F.startswith(c, F.lit(PLACE_MARK)), F.col("row_id").cast("string")).otherwise(F.col(c)) for c in ("candidate_id", "display_name")}
+    return rows.withColumns({c: v for c, v in named.items() if c in rows.columns})
 
 
 def raw_backfill(best: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

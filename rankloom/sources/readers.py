@@ -18,12 +18,18 @@ def is_object(raw: Column) -> Column:
     return raw.rlike(r"^\s*\{")
 
 
+#: Tables of one row per split are broadcast up to this many scan tasks (a task packs at most some
+#: 33 splits, so they stay within a few MB); beyond, Spark joins them as it joins any table.
+MAX_LOOKUP_TASKS = 4096
+PLACE = ("source_file", "split_start", "split_row")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text lines with their split: ``raw, source_file, split_start, split_row``.
+    """Text lines with their place: ``raw, source_file, split_start, split_row``.
 
-    ``(source_file, split_start, split_row)`` identifies a line without any shuffle.
-    ``split_row`` counts lines inside one task in file order; it becomes a line number
-    once the line counts of the earlier splits are added, see ``with_line_numbers``.
+    ``split_row`` counts lines inside one task in file order.  The three columns of ``PLACE`` identify a
+    line without any shuffle and order a file's lines; ``number_lines`` turns them into a line
+    number wherever one is wanted, be it on the few rows of a shortlist.
     """
     return spark.read.text(path).select(
         F.col("value").alias("raw"),
@@ -33,14 +39,38 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def line_offsets(lines: DataFrame) -> DataFrame:
+    """One row per split: its lines ``n``, the lines of its file before it (``line_offset``), and ``first_row``.
+
+    Counted inside the scan tasks; only these rows, never lines, are shuffled and ordered.
+    """
+    splits = lines.groupBy("source_file", "split_start").agg(F.min("split_row").alias("first_row"), F.count("*").alias("n"))
+    before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("line_offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
+def number_lines(rows: DataFrame, offsets: DataFrame, column: str = "row_id") -> DataFrame:
+    """Physical 1-based line numbers (blank lines included) for rows that carry their place.
+
+    ``rows`` may be any rows derived from the lines that ``offsets`` counts: a shortlist, quarantined
+    lines, or all of them.
+    """
+    shift = offsets.select("source_file", "split_start", (F.col("line_offset") - F.col("first_row") + 1).alias("_shift"))
+    numbered = rows.join(shift, ["source_file", "split_start"])
+    return numbered.select(*[c for c in rows.columns if c != column], (F.col("split_row") + F.col("_shift")).alias(column))
+
+
+def lookup(offsets: DataFrame, scan: DataFrame) -> DataFrame:
+    """``offsets`` marked for broadcast if the tasks of the scan bound their number."""
+    return F.broadcast(offsets) if scan.rdd.getNumPartitions() <= MAX_LOOKUP_TASKS else offsets
+
+
 def with_line_numbers(lines: DataFrame, column: str = "row_id", accepted: Column | None = None) -> DataFrame:
-    """Physical 1-based line number per file, blank lines included.
+    """Every line with its number, looked up in the table of splits: the text itself is not moved.
 
-    Only one row per split is shuffled and ordered.  That table is joined back
-    without a hint, so adaptive execution broadcasts it when its measured size
-    allows and merges it otherwise.  With ``accepted`` only accepted lines are
-    counted and returned, which gives dense ids; ``lines`` must then come straight
-    from the scan.
+    With ``accepted`` only accepted lines are counted and returned, which gives dense
+    ids; ``lines`` must then come straight from the scan.  Inputs of more than
+    ``MAX_LOOKUP_TASKS`` tasks are better numbered late, see ``number_lines``.
     """
     if accepted is not None:
         lines = (
@@ -49,19 +79,7 @@ def with_line_numbers(lines: DataFrame, column: str = "row_id", accepted: Column
             .drop("_ok")
             .withColumn("split_row", F.monotonically_increasing_id())
         )
-    splits = lines.groupBy("source_file", "split_start").agg(
-        F.min("split_row").alias("_first"), F.count("*").alias("_n")
-    )
-    before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "source_file",
-        "split_start",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-    )
-    return lines.join(offsets, ["source_file", "split_start"]).select(
-        *[c for c in lines.columns if c != column],
-        (F.col("split_row") + F.col("_shift")).alias(column),
-    )
+    return number_lines(lines, lookup(line_offsets(lines), lines), column)
 
 
 def spread_unsplittable(df: DataFrame, path: str | list[str]) -> DataFrame:
@@ -85,18 +103,19 @@ def spread_small_scan(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl(
-    spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST", dense_ids: bool = False
+    spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST", dense_ids: bool = False, late_ids: bool = False
 ) -> DataFrame:
     """JSON objects of line-delimited files: ``row_id, source_file, raw, v``.
 
     Blank lines and lines that are valid JSON but not an object are skipped.  A
     malformed line stops the job with its line number (``FAILFAST``) or is left out
     and shown by ``quarantine`` (``DROP``).  ``dense_ids`` numbers accepted records
-    1..n instead of using the physical line number.
+    1..n instead of using the physical line number.  ``late_ids`` gives the place of a line
+    (``split_start, split_row``) instead of its number: one scan, nothing counted or joined.
     """
     blank, parsed = F.col("raw").rlike(BLANK), F.try_parse_json("raw")
     lines = read_lines(spark, path)
-    if dense_ids:
+    if dense_ids or late_ids:
         # numbered inside the scan stage, before any shuffle can change the row order
         place = F.concat(F.lit("in "), F.col("source_file"), F.lit(" after byte "), F.col("split_start").cast("string"))
     else:
@@ -108,17 +127,18 @@ def read_jsonl(
         records = spread_unsplittable(with_line_numbers(lines, accepted=accepted), path)
     else:
         records = spread_unsplittable(lines, path).where(accepted)
-    return parse_records(records).select("row_id", "source_file", "raw", "v")
+    return parse_records(records).select(*(PLACE[1:] if late_ids else ["row_id"]), "source_file", "raw", "v")
 
 
 def quarantine(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Malformed lines with file and line number, for repair.
+    """Malformed lines with file and line number, for repair; only these lines are joined with the counts.
 
     Besides broken text this holds what the strict parser refuses: duplicate keys,
     ``NaN`` and ``Infinity``.
     """
-    lines = with_line_numbers(read_lines(spark, path)).where(~F.col("raw").rlike(BLANK))
-    return parse_records(lines).where(F.col("v").isNull()).select("source_file", "row_id", "raw")
+    lines = read_lines(spark, path)
+    bad = lines.where(~F.col("raw").rlike(BLANK) & F.try_parse_json("raw").isNull())
+    return number_lines(bad, line_offsets(lines)).select("source_file", "row_id", "raw")
 
 
 def quarantine_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -162,15 +182,15 @@ def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame
 
 
 def number_rows(df: DataFrame, column: str = "row_id") -> DataFrame:
-    """Dense 1..n over the rows of a table in task order, without sorting them.
+    """Dense 1..n over the rows of a table in task order, without sorting or moving them.
 
-    One count per task is accumulated; the rows themselves are not moved.
+    One count per task is summed up and looked up again; the counting pass reads no column.
     """
     tagged = df.withColumn("_task", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
     tasks = tagged.groupBy("_task").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     shift = tasks.select("_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    return tagged.join(shift, "_task").select(*df.columns, (F.col("_row") + F.col("_shift")).alias(column))
+    return tagged.join(lookup(shift, df), "_task").select(*df.columns, (F.col("_row") + F.col("_shift")).alias(column))
 
 
 def read_job_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -141,3 +141,41 @@ def test_text_keeps_source_order_and_row_id(spark, tmp_path):
     assert got == 'b c 1.5 True     q"\\ ' + big.strip() + " "
     (tmp_path / "r.jsonl").write_text('\n{"id":"a"}\n')
     assert rank_files(spark, str(tmp_path / "r.jsonl"), JobSpec(), {}).scored.first()["text"] == "a 2"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_line_numbers_do_not_move_the_text(spark, tmp_path):
+    from rankloom.operators import topk
+
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(50)))
+    for df in (readers.read_jsonl(spark, str(tmp_path)), readers.read_jsonl(spark, str(tmp_path), late_ids=True)):
+        moved = [part for part in df._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[1:]]
+        assert not any("raw#" in part.split("\n")[1] for part in moved)
+    late = readers.read_jsonl(spark, str(tmp_path), late_ids=True)
+    assert "Exchange" not in plan_of(late) and "Join" not in plan_of(late)
+    best = topk.top_k(late.select(*readers.PLACE, F.try_variant_get("v", "$.n", "long").alias("n")), 3, [F.desc("n")])
+    found = readers.number_lines(best, readers.line_offsets(readers.read_lines(spark, str(tmp_path))))
+    assert sorted((r["n"], r["row_id"]) for r in found.collect()) == [(47, 48), (48, 49), (49, 50)]
+
+
+def test_ranking_with_late_ids(spark, tmp_path):
+    for name, n in (("a.jsonl", 40), ("b.jsonl", 25)):
+        (tmp_path / name).write_text("".join("\n" if i % 5 == 0 else f'{{"skills": ["Grafting", "tool {i}"], "k": "{name}{i}"}}\n' for i in range(n)))
+    job = JobSpec(jd_id="j", required_skills=("Grafting",))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        late = rank_files(spark, str(tmp_path), job, {}, late_ids=True, k_features=100, k_export=100)
+        rows = [(r["source_file"][-7:], r["row_id"], r["candidate_id"], r["display_name"]) for r in late.ranked.collect()]
+        assert sorted(rows) == sorted((f, i + 1, str(i + 1), str(i + 1)) for f, n in (("a.jsonl", 40), ("b.jsonl", 25)) for i in range(n) if i % 5)
+        early = rank_files(spark, str(tmp_path), job, {}, k_features=100, k_export=100)
+        ids = lambda result: sorted(r["candidate_id"] for r in result.export.collect())
+        assert ids(late) == ids(early)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "c.jsonl").write_text('{"id":\n')
+    with pytest.raises(Exception, match="Invalid JSONL in .*c.jsonl after byte 0"):
+        rank_files(spark, str(tmp_path), job, {}, late_ids=True).ranked.collect()
