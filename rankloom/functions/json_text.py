@@ -143,3 +143,11 @@ def variant_scalar(value: Column) -> Column:
 def variant_string_or(value: Column, default: str = "") -> Column:
     """Text of a truthy scalar, otherwise the default."""
     return F.coalesce(F.when(variant_truthy(value), variant_scalar(value)), F.lit(default))
+
+
+def is_json(raw: Column) -> Column:
+    """One complete JSON value and nothing after it (the parser alone stops at the value's end)."""
+    return once(
+        F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))),
+        lambda v: v.isNotNull() & F.try_variant_get(v, "$[0]", "variant").isNotNull() & F.try_variant_get(v, "$[1]", "variant").isNull(),
+    )

@@ -7,8 +7,10 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.json_text import is_json
 from rankloom.jobs import JOB_SCHEMA
 from rankloom.operators.profile import parse_records
+from rankloom.sources import json_documents
 
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
@@ -113,7 +115,7 @@ def read_jsonl(
     1..n instead of using the physical line number.  ``late_ids`` gives the place of a line
     (``split_start, split_row``) instead of its number: one scan, nothing counted or joined.
     """
-    blank, parsed = F.col("raw").rlike(BLANK), F.try_parse_json("raw")
+    blank = F.col("raw").rlike(BLANK)
     lines = read_lines(spark, path)
     if dense_ids or late_ids:
         # numbered inside the scan stage, before any shuffle can change the row order
@@ -122,7 +124,7 @@ def read_jsonl(
         lines = with_line_numbers(lines)
         place = F.concat(F.lit("on line "), F.col("row_id").cast("string"))
     bad = F.raise_error(F.concat(F.lit("Invalid JSONL "), place)) if mode == "FAILFAST" else F.lit(False)
-    accepted = F.when(blank, F.lit(False)).when(parsed.isNull(), bad).otherwise(is_object(F.col("raw")))
+    accepted = F.when(blank, F.lit(False)).when(~is_json(F.col("raw")), bad).otherwise(is_object(F.col("raw")))
     if dense_ids:
         records = spread_unsplittable(with_line_numbers(lines, accepted=accepted), path)
     else:
@@ -137,42 +139,31 @@ def quarantine(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ``NaN`` and ``Infinity``.
     """
     lines = read_lines(spark, path)
-    bad = lines.where(~F.col("raw").rlike(BLANK) & F.try_parse_json("raw").isNull())
+    bad = lines.where(~F.col("raw").rlike(BLANK) & ~is_json(F.col("raw")))
     return number_lines(bad, line_offsets(lines)).select("source_file", "row_id", "raw")
 
 
 def quarantine_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Malformed JSON documents (file and text), for repair."""
+    """JSON documents (file and text) that are malformed, or hold no list where one belongs, for repair."""
     docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"))
-    return docs.where(F.try_parse_json("raw").isNull())
+    parsed = F.try_parse_json("raw")
+    listed = F.try_variant_get(parsed, "$.candidates", "variant").isNull() | F.try_variant_get(parsed, "$.candidates", "array<variant>").isNotNull()
+    good = is_json(F.col("raw")) & (F.col("raw").rlike(r"^\s*\[") | (is_object(F.col("raw")) & listed))
+    return docs.where(~good)
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], *, mode: str = "FAILFAST") -> DataFrame:
     """Records of JSON documents: a top-level list, or the list under ``candidates``.
 
-    A malformed document stops the job with its name (``FAILFAST``) or stays out (``DROP``,
-    see ``quarantine_documents``).
+    Large documents are read split by split on all cores (see ``json_documents``).  A document that is malformed
+    or holds no such list stops the job with its name (``FAILFAST``) or stays out (``DROP``, see
+    ``quarantine_documents``); an object without ``candidates`` has no records.
 
     Each element keeps its own raw text in source order; the row id is its 1-based
     position in the list, counted before other elements are dropped.
     """
-    docs = spark.read.text(path, wholetext=True).select(
-        F.col("value"), F.col("_metadata.file_path").alias("source_file")
-    )
-    bad = F.try_parse_json("value").isNull()
-    if mode == "FAILFAST":
-        stop = F.raise_error(F.concat(F.lit("Invalid JSON document "), F.col("source_file")))
-        docs = docs.withColumn("value", F.when(bad, stop).otherwise(F.col("value")))
-    else:
-        docs = docs.where(~bad)
-    listed = F.when(
-        F.col("value").rlike(r"^\s*\["), F.from_json("value", "array<string>")
-    ).otherwise(F.from_json("value", "candidates array<string>")["candidates"])
-    return parse_records(
-        docs.select("source_file", F.posexplode(listed).alias("pos", "raw"))
-        .where(is_object(F.col("raw")))
-        .select((F.col("pos") + 1).cast("long").alias("row_id"), "source_file", "raw")
-    )
+    listed = json_documents.read_elements(spark, path, mode)
+    return parse_records(listed.where(is_object(F.col("raw"))).select("row_id", "source_file", "raw"))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

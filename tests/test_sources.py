@@ -31,11 +31,11 @@ def test_jsonl_plain_and_gzip(spark, tmp_path):
 
 def test_malformed_line_stops_or_is_quarantined(spark, tmp_path):
     path = tmp_path / "x.jsonl"
-    path.write_text('{"id":"c1"}\n{"id": \n{"id":"c3"}\n')
+    path.write_text('{"id":"c1"}\n{"id":"c2"} {"id":"x"}\n{"id":"c3"}\n{"id": \n{"id":"c5"}, 1\n')
     with pytest.raises(Exception, match="Invalid JSONL on line 2"):
         readers.read_jsonl(spark, str(path)).collect()
     assert ids(readers.read_jsonl(spark, str(path), mode="DROP")) == [(1, "c1"), (3, "c3")]
-    assert [r["row_id"] for r in readers.quarantine(spark, str(path)).collect()] == [2]
+    assert sorted(r["row_id"] for r in readers.quarantine(spark, str(path)).collect()) == [2, 4, 5]
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):
@@ -179,3 +179,56 @@ def test_ranking_with_late_ids(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"id":\n')
     with pytest.raises(Exception, match="Invalid JSONL in .*c.jsonl after byte 0"):
         rank_files(spark, str(tmp_path), job, {}, late_ids=True).ranked.collect()
+
+
+def in_small_splits(spark, size, run):
+    name = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_one_document_over_many_splits(spark, tmp_path):
+    text = 'a "}{][," b \\ c\n'
+    records = [{"id": i, "note": text * (i % 4), "deep": [{"candidates": [i, {"x": "}"}]}] * (i % 3)} if i % 9 else i for i in range(120)]
+    for name, body in {
+        "list.json": json.dumps(records, indent=1) + "\n",
+        "one_line.json": json.dumps({"meta": {"k": [1, {"candidates": 5}]}, "candidates": records, "after": {"z": "]}"}}),
+        "brace.json": json.dumps({"candidates": records[:40]}) + " ",
+    }.items():
+        path = tmp_path / name
+        path.write_text(body)
+        want = [(i + 1, r["id"]) for i, r in enumerate(records if name != "brace.json" else records[:40]) if isinstance(r, dict)]
+        for size in (200, 3000):
+            df = in_small_splits(spark, size, lambda: readers.read_json_array(spark, str(path)).select("row_id", "raw", "source_file").collect())
+            assert [(r["row_id"], json.loads(r["raw"])["id"]) for r in sorted(df)] == want
+            for r in df:
+                assert json.loads(r["raw"]) == records[r["row_id"] - 1]
+
+
+@pytest.mark.parametrize(
+    "body",
+    ["5", '{"candidates": {"a": 1}}', '{"candidates": null}', '[{"a": 1}', '[{"a": 1},]', '[{"a": 1}] x', '[{"a": 1}}', '{"candidates": [1], "b": }', "", '{"candidates": [1], "candidates": [2]}', '[{"a" 1}]'],
+)
+def test_documents_without_a_list_stop_the_job(spark, tmp_path, body):
+    (tmp_path / "bad.json").write_text(body)
+    with pytest.raises(Exception, match="Invalid JSON document .*bad.json"):
+        readers.read_json_array(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_malformed_documents_stay_out(spark, tmp_path):
+    bodies = ["5", '"x"', '{"candidates": {"a": 1}}', '[{"a": 1},]', '{"candidates": [1], "b": }', "", '[{"a" 1}]', '[{"a": 1}']
+    for i, body in enumerate(bodies):
+        (tmp_path / f"bad{i}.json").write_text(body)
+    (tmp_path / "good.json").write_text('{"candidates": [{"id": "b"}, 7, {"id": "c"}]}')
+    assert ids(readers.read_json_array(spark, str(tmp_path), mode="DROP")) == [(1, "b"), (3, "c")]
+    assert readers.quarantine_documents(spark, str(tmp_path)).count() == len(bodies) - 1  # an empty file has no text to list
+
+
+def test_documents_without_records(spark, tmp_path):
+    for i, body in enumerate(["[]", " [ ] ", "{}", '{"candidates": []}', '{"other": [{"id": 1}]}']):
+        (tmp_path / f"none{i}.json").write_text(body)
+    assert readers.read_json_array(spark, str(tmp_path)).count() == 0 and readers.quarantine_documents(spark, str(tmp_path)).count() == 0
