@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankloom.functions.json_text import is_json
 from rankloom.jobs import JOB_SCHEMA
 from rankloom.operators.profile import parse_records
-from rankloom.sources import json_documents
+from rankloom.sources import csv_records, json_documents
 
 BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
@@ -166,10 +167,63 @@ def read_json_array(spark: SparkSession, path: str | list[str], *, mode: str = "
     return parse_records(listed.where(is_object(F.col("raw"))).select("row_id", "source_file", "raw"))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
-    """Records of CSV files with a header, types inferred; empty cells are null."""
-    rows = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"', **options)
-    return number_rows(rows.select(F.to_json(F.struct("*")).alias("raw")))
+def csv_table(
+    spark: SparkSession, path: str | list[str], *, header: bool = True, sep: str = ",", quote: str = '"'
+) -> tuple[DataFrame, list[str]]:
+    """Parsed CSV records with their ``fault`` (null if none), and the column names; the header is no record."""
+    records, unclosed = csv_records.read_records(spark, path, sep, quote)
+    first = records.where("record = 0").select("source_file", "cells").collect()  # one row per file
+    names = {tuple(r.cells) for r in first}
+    if header and len(names) > 1:
+        raise ValueError("CSV files of one table must have the same header")
+    cells = next(iter(names), ()) if header else [None] * max((len(r.cells) for r in first), default=0)
+    columns = [c or f"_c{i}" for i, c in enumerate(cells)]
+    rows = records.where("record > 0") if header else records.withColumn("record", F.col("record") + 1)
+    unclosed = {f: n + (not header) for f, n in unclosed.items()}
+    return rows.withColumn("fault", csv_records.faults(rows, len(columns), unclosed)), columns
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    *,
+    mode: str = "FAILFAST",
+    schema: str | T.StructType | None = None,
+    header: bool = True,
+    inferSchema: bool = True,  # noqa: N803  (the names of Spark's own options)
+    sep: str = ",",
+    quote: str = '"',
+    multiLine: bool = True,  # noqa: N803
+    escape: str = '"',
+) -> DataFrame:
+    """Records of CSV files: ``source_file, row_id, raw``; types inferred, empty cells null, rows short of cells filled with nulls.
+
+    Cells may hold line breaks; files are still cut in parallel (see ``csv_records``).  A record of too many
+    cells, or one whose quote is never closed, stops the job with its file and record number
+    (``FAILFAST``) or stays out (``DROP``, see ``quarantine_csv``).  ``schema`` gives names and types,
+    ``inferSchema=False`` leaves all cells texts; row ids count the records of a file from 1.
+    """
+    if escape != quote or not multiLine:
+        raise ValueError("quotes are escaped by doubling them, and cells may always hold line breaks")
+    rows, columns = csv_table(spark, path, header=header, sep=sep, quote=quote)
+    good = rows.where("fault IS NULL")
+    if schema is not None:
+        given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        columns, types = given.names, [f.dataType.simpleString() for f in given.fields]
+    else:
+        types = csv_records.column_types(good, len(columns)) if inferSchema else ["string"] * len(columns)
+    cell = lambda i, t: F.get("cells", F.lit(i)) if t == "string" else F.trim(F.get("cells", F.lit(i))).try_cast(t)
+    record = F.to_json(F.struct(*[cell(i, t).alias(c) for i, (c, t) in enumerate(zip(columns, types))])) if columns else F.lit("{}")
+    if mode == "FAILFAST":
+        place = F.concat(F.lit("Invalid CSV "), F.col("source_file"), F.lit(": record "), F.col("record").cast("string"), F.lit(": "), F.col("fault"))
+        record, good = F.when(F.col("fault").isNull(), record).otherwise(F.raise_error(place)), rows
+    return good.select("source_file", F.col("record").alias("row_id"), record.alias("raw"))
+
+
+def quarantine_csv(spark: SparkSession, path: str | list[str], *, header: bool = True, sep: str = ",", quote: str = '"') -> DataFrame:
+    """Malformed CSV records with file, record number, text and reason, for repair."""
+    rows, _ = csv_table(spark, path, header=header, sep=sep, quote=quote)
+    return rows.where("fault IS NOT NULL").select("source_file", F.col("record").alias("row_id"), "raw", "fault")
 
 
 def number_rows(df: DataFrame, column: str = "row_id") -> DataFrame:

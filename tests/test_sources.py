@@ -232,3 +232,46 @@ def test_documents_without_records(spark, tmp_path):
     for i, body in enumerate(["[]", " [ ] ", "{}", '{"candidates": []}', '{"other": [{"id": 1}]}']):
         (tmp_path / f"none{i}.json").write_text(body)
     assert readers.read_json_array(spark, str(tmp_path)).count() == 0 and readers.quarantine_documents(spark, str(tmp_path)).count() == 0
+
+
+def test_csv_cells_over_many_splits(spark, tmp_path):
+    import csv
+
+    rows = [[f"c{i}", i % 5 or "", f'say "{i}",\nthen\r\nx' * (i % 4), i / 4, "TRUE" if i % 2 else "false"] for i in range(150)]
+    path = tmp_path / "a.csv"
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f)
+        out.writerow(["id", "n", "note", "x", "ok"])
+        for i, r in enumerate(rows):
+            out.writerow(r)
+            if i % 20 == 0:
+                f.write("\n")
+    want = []
+    for r in rows:
+        row = {"id": r[0], "n": r[1], "note": r[2], "x": r[3], "ok": r[4] == "TRUE"}
+        want.append({k: v for k, v in row.items() if v != ""})
+    for size in (150, 2000, 10**6):
+        got = in_small_splits(spark, size, lambda: readers.read_csv(spark, str(path)).collect())
+        assert [json.loads(r["raw"]) for r in sorted(got, key=lambda r: r["row_id"])] == want
+        assert sorted(r["row_id"] for r in got) == list(range(1, 151))
+    text = readers.read_csv(spark, str(path), inferSchema=False, header=True, multiLine=True, escape='"').where("row_id = 2").first()
+    assert json.loads(text["raw"]) == {"id": "c1", "n": "1", "note": rows[1][2], "x": "0.25", "ok": "TRUE"}
+
+
+def test_malformed_csv(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('id,name\n1,a\n2,"b\n3,c\n4,d\n')
+    with pytest.raises(Exception, match="Invalid CSV .*a.csv: record 2: a quote is never closed"):
+        readers.read_csv(spark, str(path)).collect()
+    assert ids(readers.read_csv(spark, str(path), mode="DROP")) == [(1, 1)]
+    bad = readers.quarantine_csv(spark, str(path)).collect()
+    assert [(r["row_id"], r["raw"]) for r in bad] == [(2, '2,"b\n3,c\n4,d\n')]
+    path.write_text("id,name\n1,a\n2,b,c\n3\n")
+    with pytest.raises(Exception, match="record 2: 3 cells for 2 columns"):
+        readers.read_csv(spark, str(path)).collect()
+    assert ids(readers.read_csv(spark, str(path), mode="DROP")) == [(1, 1), (3, 3)]
+    (tmp_path / "b.csv").write_text("x;y\n")
+    assert readers.read_csv(spark, str(tmp_path / "b.csv"), sep=";").count() == 0
+    (tmp_path / "c.csv").write_text("1;u\n2;v\n")
+    rows = readers.read_csv(spark, str(tmp_path / "c.csv"), sep=";", header=False, schema="a double, b string").collect()
+    assert [json.loads(r["raw"]) for r in sorted(rows)] == [{"a": 1.0, "b": "u"}, {"a": 2.0, "b": "v"}]
