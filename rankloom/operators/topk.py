@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # First-stage groups per key.  Each task sends at most K rows, and they are spread
 # over this many groups before the last stage sees FAN_IN * K rows per key.
@@ -43,6 +44,67 @@ def top_k(df: DataFrame, k: int, order: list[Column], keys: list[str] | None = N
     return pruned.withColumn("_n", F.row_number().over(final)).where(F.col("_n") <= k).drop("_n")
 
 
+BINS = 1024
+PASSES = 8  # each narrows the range a thousandfold; a double has no more digits than six passes
+
+
+def comparable(score: Column) -> Column:
+    """The score as a finite double in the same order (nulls below everything, NaN above)."""
+    value = F.coalesce(F.nanvl(score.cast("double"), F.lit(1e300)), F.lit(-1e300))
+    return F.greatest(F.least(value, F.lit(1e300)), F.lit(-1e300))
+
+
+def cut_scores(df: DataFrame, k: int, score: str, keys: list[str]) -> list[tuple]:
+    """Per key the largest score that at least ``k`` rows reach (all rows of a smaller key).
+
+    Every pass counts rows by key and bin, combined inside the tasks, so whatever ``k``, a task sends at most
+    ``BINS`` small rows per key; the bin that holds the k-th score is divided next, between the
+    smallest and largest score in it.  Reads ``df`` once per pass: give it a written table.  Keys must be few
+    (jobs, queries): their counts come to the driver.
+    """
+    n = len(keys)
+    rows = df.select(*keys, comparable(F.col(score)).alias("_s"))
+    spark, key_schema = df.sparkSession, T.StructType([T.StructField(c, df.schema[c].dataType) for c in keys])
+    limits = T.StructType([*key_schema.fields, T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())])
+    open_, done = {}, {}
+    for r in rows.groupBy(*keys).agg(F.count("*"), F.min("_s"), F.max("_s")).collect():
+        key, (count, low, high) = tuple(r[:n]), r[n:]
+        (done if count <= k or low == high else open_)[key] = (low, high, 0)
+    for _ in range(PASSES):
+        if not open_:
+            break
+        bounds = spark.createDataFrame([(*key, lo, hi) for key, (lo, hi, _) in open_.items()], limits)
+        inside = rows.join(F.broadcast(bounds), keys).where("_s BETWEEN _lo AND _hi")
+        place = F.least(F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1))
+        counted = inside.groupBy(*keys, place.alias("_bin")).agg(F.count("*"), F.min("_s"), F.max("_s")).collect()
+        bins: dict[tuple, list] = {}
+        for r in counted:
+            bins.setdefault(tuple(r[:n]), []).append(tuple(r[n:]))
+        for key, found in bins.items():
+            above = open_[key][2]
+            for _, count, low, high in sorted(found, reverse=True):
+                if above + count >= k:
+                    open_[key] = (low, high, above)
+                    if above + count == k or low == high:
+                        done[key] = open_.pop(key)
+                    break
+                above += count
+    return [(*key, low) for key, (low, _, _) in {**done, **open_}.items()]
+
+
+def select_k(df: DataFrame, k: int, score: str, row_id: str, keys: list[str], tie_break: str = BY_ID) -> DataFrame:
+    """``top_k`` for any ``k``: the k-th score is found by counting, then only rows that reach it are shuffled and ties settled.
+
+    Counting runs at once (see :func:`cut_scores`); the result is as lazy as any other DataFrame.
+    """
+    if k <= 0:
+        return df.limit(0)
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in keys], T.StructField("_cut", T.DoubleType())])
+    cuts = df.sparkSession.createDataFrame(cut_scores(df, k, score, keys), schema)
+    reached = df.join(F.broadcast(cuts), keys).where(comparable(F.col(score)) >= F.col("_cut")).drop("_cut")
+    return top_k(reached, k, score_order(score, row_id, tie_break), keys)
+
+
 def rank_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Add ``rank`` 1..n per key; for shortlists, where a key has few rows."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

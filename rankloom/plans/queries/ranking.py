@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankloom import constants as C
+from rankloom.functions.numeric import once
 from rankloom.operators import reasons, reports, topk
 from rankloom.plans import oracle as O
 from rankloom.plans.queries.registry import (
@@ -181,26 +182,40 @@ def _(spark, sf):
     return reports.counts(scored(spark, sf), 500)
 
 
-@query(
-    "funnel",
-    O.on_candidates(
-        """, cut1 AS (SELECT candidate_id FROM scored WHERE jd_id = 'star' ORDER BY lexical_relevance DESC, candidate_id LIMIT 1000),
-cut2 AS (SELECT s.* FROM scored s JOIN cut1 USING (candidate_id) WHERE jd_id = 'star' ORDER BY composite_score DESC, candidate_id LIMIT 500)
-SELECT candidate_id, composite_score FROM cut2 ORDER BY composite_score DESC, candidate_id LIMIT 100""",
+def _funnel_sql(first: int, second: int, last: int) -> str:
+    return O.on_candidates(
+        f""", cut1 AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY round(lexical_relevance, 12) DESC, candidate_id) AS p1 FROM scored),
+cut2 AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY composite_score DESC, candidate_id) AS p2 FROM cut1 WHERE p1 <= {first})
+SELECT jd_id, candidate_id, composite_score FROM cut2 WHERE p2 <= {min(second, last)}""",
         "scored",
-    ),
-)
-def _(spark, sf):
+    )
+
+
+def _funnel(spark, sf, first: int, second: int, last: int):
     from rankloom.functions import text as X
     from rankloom.jobs import job_literal
-    from rankloom.plans.fixtures import JD_STAR
-
-    # the cheap score of the first cut needs the tokens and nothing else
-    cheap = X.keyword_density(X.tokens(F.col("text")), job_literal(JD_STAR)["lexical"])
-    rows = profiles(spark, sf).withColumn("retrieval_score", 2 * F.round(cheap, 12) - 1)
-    result = rank(rows, JD_STAR, k_retrieval=1000, k_features=500, k_export=100)
-    best = topk.top_k(result.ranked, 100, topk.score_order(), ["jd_id"])
-    return best.select("candidate_id", "composite_score")
+    from rankloom.plans.fixtures import CANDIDATE_JOBS
+
+    # the cheap score of the first cut needs the tokens and nothing else; every job has its own
+    def cheap(tokens):
+        scores = [(F.lit(j.jd_id), 2 * F.round(X.keyword_density(tokens, job_literal(j)["lexical"]), 12) - 1) for j in CANDIDATE_JOBS]
+        return F.create_map(*[c for pair in scores for c in pair])
+
+    rows = profiles(spark, sf).withColumn("retrieval_score", once(X.tokens(F.col("text")), cheap))
+    result = rank(rows, CANDIDATE_JOBS, k_retrieval=first, k_features=second, k_export=last)
+    best = topk.top_k(result.ranked, last, topk.score_order(), ["jd_id"])
+    return best.select("jd_id", "candidate_id", "composite_score")
+
+
+@query("funnel", _funnel_sql(5000, 500, 100))
+def _(spark, sf):
+    return _funnel(spark, sf, C.TOP_K_RETRIEVAL, C.TOP_K_FEATURES, C.TOP_K_EXPORT)
+
+
+@query("funnel_narrow", _funnel_sql(300, 120, 50))
+def _(spark, sf):
+    """The same with cuts that bite on small tables too."""
+    return _funnel(spark, sf, 300, 120, 50)
 
 
 @query(

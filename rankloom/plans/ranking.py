@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +15,7 @@ from rankloom.jobs import JobSpec, job_batches
 from rankloom.operators import features, reports, topk
 from rankloom.operators.profile import DEFAULT_SIGNALS_FIELD, profiles_from_columns, profiles_from_json
 from rankloom.operators.schema_map import SchemaMap
+from rankloom.session import shared_dir
 from rankloom.sources.readers import PLACE, line_offsets, number_lines, read_jsonl, read_lines
 
 #: Begins the stand-in for a line number; no id of a record starts with it.
@@ -55,15 +57,41 @@ def keep_best(scored: DataFrame, k: int, tie_break: str = topk.BY_ID, keep: tupl
     return features.add_details(best)
 
 
-def retrieval_cut(profiles: DataFrame, jobs: list[JobSpec], k: int) -> tuple[DataFrame, DataFrame | None]:
-    """Profiles that at least one job keeps, and each job's kept ids where the score is per job."""
+#: Ids of the cut are broadcast up to this many (some 10 MB); beyond, Spark joins them as it joins any table.
+MAX_CUT_IDS = 200_000
+
+
+def retrieval_scores(profiles: DataFrame, jobs: list[JobSpec]) -> DataFrame:
+    """``candidate_id, jd_id, score``: narrow rows of the retrieval score, one per job where it is a map."""
     if not isinstance(profiles.schema["retrieval_score"].dataType, T.MapType):
-        best = topk.top_k(profiles.select("candidate_id", "retrieval_score"), k, topk.score_order("retrieval_score"))
-        return profiles.join(best.select("candidate_id"), "candidate_id", "left_semi"), None
+        return profiles.select("candidate_id", F.lit("").alias("jd_id"), F.col("retrieval_score").cast("double").alias("score"))
     pairs = profiles.select("candidate_id", F.explode("retrieval_score").alias("jd_id", "score"))
-    pairs = pairs.where(F.col("jd_id").isin([j.jd_id for j in jobs]))
-    cut = topk.top_k(pairs, k, topk.score_order("score"), ["jd_id"]).select("candidate_id", "jd_id")
-    return profiles.join(cut.select("candidate_id").distinct(), "candidate_id", "left_semi"), cut
+    return pairs.where(F.col("jd_id").isin([j.jd_id for j in jobs])).withColumn("score", F.col("score").cast("double"))
+
+
+def retrieval_cut(profiles: DataFrame, jobs: list[JobSpec], k: int) -> DataFrame:
+    """Profiles that may be among the best ``k`` of some job: those whose id is.
+
+    Ids and scores are written once to the shared folder; the k-th scores are found there by counting.  The ids
+    that are left filter the profiles before anything else of them is computed.
+    """
+    spark = profiles.sparkSession
+    path = f"{shared_dir(spark)}/retrieval-{uuid.uuid4().hex}"
+    retrieval_scores(profiles, jobs).write.parquet(path)
+    best = topk.select_k(spark.read.parquet(path), k, "score", "candidate_id", ["jd_id"])
+    ids = best.select("candidate_id").distinct()
+    ids = F.broadcast(ids) if k * max(1, len(jobs)) <= MAX_CUT_IDS else ids
+    return profiles.join(ids, "candidate_id", "left_semi")
+
+
+def settled_cut(scored: DataFrame, k: int) -> DataFrame:
+    """Exactly the best ``k`` rows per job by retrieval score; ids may repeat, so the cut by id may hold more."""
+    given = F.col("retrieval_score")
+    if isinstance(scored.schema["retrieval_score"].dataType, T.MapType):
+        given = F.try_element_at(given, F.col("jd_id"))
+        scored = scored.where(given.isNotNull())
+    scored = scored.withColumn("_given", topk.comparable(given))
+    return topk.top_k(scored, k, topk.score_order("_given"), ["jd_id"]).drop("_given")
 
 
 def rank(
@@ -80,16 +108,15 @@ def rank(
     """Rank profile rows.
 
     ``k_retrieval`` first cuts every job to its best rows by the ``retrieval_score`` column:
-    one score for all jobs, or a map from job id to score.  The cut is made on ids and scores
+    one score for all jobs, or a map from job id to score.  The cut is made at once, on ids and scores
     alone; only rows that some job keeps are scored.
     """
     jobs = [jobs] if isinstance(jobs, JobSpec) else list(jobs)
-    cut = None
     if k_retrieval is not None:
-        profiles, cut = retrieval_cut(profiles, jobs, k_retrieval)
+        profiles = retrieval_cut(profiles, jobs, k_retrieval)
     scored = score_all(profiles, jobs)
-    if cut is not None:
-        scored = scored.join(cut, ["candidate_id", "jd_id"], "left_semi")
+    if k_retrieval is not None:
+        scored = settled_cut(scored.select(*keep, *[c for c in ("retrieval_score",) if c not in keep], *CARRIED), k_retrieval)
     ranked = keep_best(scored, k_features, tie_break, keep)
     return RankingResult(
         schema_map or SchemaMap(), jobs, scored, ranked, reports.export_rows(ranked, k_export)
