@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from rankloom import constants as C
+from rankloom.functions.numeric import once
 from rankloom.operators import topk
+from rankloom.session import shared_dir
 
 SPACES = r"(?U)[\s\x1c-\x1f]+"
-MAX_QUERY_VALUES = 250_000  # numbers in the query literal of one pass
+MAX_QUERY_VALUES = 1_000_000  # numbers in one block of queries (8 MB)
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -31,52 +36,62 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ---------------------------------------------------------------------------
 
 
-def hash_buckets(df: DataFrame, key: str, text: str, dims: int = C.EMBEDDING_DIMS) -> DataFrame:
-    """Sparse hashed-token vectors: ``(key, bucket, weight, norm)``, zeros left out.
+def sparse_vector(text: Column, dims: int = C.EMBEDDING_DIMS) -> Column:
+    """Hashed-token vector of a text as ``array<struct<bucket, weight>>`` without zeros; one projection, no shuffle.
 
-    Bucket and sign come from the SHA-256 of each white-space token.  Partial sums
-    leave at most ``dims`` rows per text and task for the shuffle.  ``embed_column``
-    gives the same vectors dense and without any shuffle.
+    Bucket and sign come from the SHA-256 of each white-space token; weights are whole numbers.
     """
-    token = F.explode(F.split(F.lower(text), SPACES)).alias("token")
-    digest = F.sha2("token", 256)
-    bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dims
-    odd = F.conv(F.substring(digest, 6, 1), 16, 10).cast("int") % 2
-    weights = (
-        df.select(key, token)
-        .where(F.col("token") != "")
-        .select(key, bucket.alias("bucket"), F.when(odd == 0, F.lit(1)).otherwise(F.lit(-1)).alias("n"))
-        .groupBy(key, "bucket")
-        .agg(F.sum("n").cast("double").alias("weight"))
-        .where("weight <> 0")
-    )
-    square = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key))
-    return weights.withColumn("norm", F.sqrt(square))
+    counts = embed_column(text, load_hash_counts)
+    listed = F.transform(counts, lambda x, i: F.struct(i.alias("bucket"), x.cast("double").alias("weight")))
+    return F.filter(listed, lambda e: e["weight"] != 0)
+
+
+def sparse_norm(vector: Column) -> Column:
+    """L2 norm of a sparse vector, of one row alone; whole squares, so exact in any order."""
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
+
+
+def hash_buckets(df: DataFrame, key: str, text: str, dims: int = C.EMBEDDING_DIMS) -> DataFrame:
+    """Sparse hashed-token vectors as rows: ``(key, bucket, weight, norm)``, zeros left out; nothing is shuffled."""
+    vectors = df.select(key, sparse_vector(F.col(text), dims).alias("_v"))
+    return vectors.select(key, sparse_norm(F.col("_v")).alias("norm"), F.inline("_v")).select(key, "bucket", "weight", "norm")
 
 
-def vector_norms(weights: DataFrame, key: str) -> DataFrame:
-    """L2 norm per sparse vector."""
-    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+def vector_norms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """L2 norm of every text's vector; texts without tokens have none."""
+    vectors = df.select(key, sparse_vector(F.col(text)).alias("_v")).where(F.size("_v") > 0)
+    return vectors.select(key, sparse_norm(F.col("_v")).alias("norm"))
 
 
-def hash_counts(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
+class Places(dict):
+    """Token to twice its bucket, plus one for a negative sign; every token is hashed once per task."""
+
+    def __init__(self, dims: int):
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        digest = hashlib.sha256(token.encode()).digest()
+        place = self[token] = (digest[0] * 256 + digest[1]) % self.dims * 2 + (digest[2] & 1)
+        return place
+
+
+def hash_counts(texts: list[str], dims: int = C.EMBEDDING_DIMS, places: Places | None = None) -> np.ndarray:
     """Signed token counts per bucket for one Arrow batch; whole numbers, so exact."""
-    places: dict[str, tuple[int, float]] = {}
+    places = Places(dims) if places is None else places
     out = np.zeros((len(texts), dims), dtype="float32")
     for row, text in enumerate(texts):
-        for token in text.lower().split():
-            place = places.get(token)
-            if place is None:
-                digest = hashlib.sha256(token.encode()).digest()
-                place = ((digest[0] * 256 + digest[1]) % dims, 1.0 - 2.0 * (digest[2] & 1))
-                places[token] = place
-            out[row, place[0]] += place[1]
+        signed = np.bincount([places[token] for token in text.lower().split()], minlength=2 * dims)
+        out[row] = signed[0::2] - signed[1::2]
     return out
 
 
 def load_hash_counts() -> Encoder:
     """Loader for ``embed_column`` that leaves the counts unscaled."""
-    return hash_counts
+    places = Places(C.EMBEDDING_DIMS)
+    return lambda texts: hash_counts(texts, C.EMBEDDING_DIMS, places)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -130,77 +145,142 @@ def inner_product(a: Column, b: Column) -> Column:
     )
 
 
-def cosine_sparse(docs: DataFrame, key: str, vectors: DataFrame, query: list[float]) -> DataFrame:
-    """Cosine of sparse unit vectors with one query; every document is kept.
+def cosine_sparse(df: DataFrame, key: str, text: str, query: list[float]) -> DataFrame:
+    """Cosine of every text's sparse vector with one unit query; every row is kept.
 
-    The query is at most one literal array, looked up by bucket.  Documents without a
-    common bucket, or without any token, score 0.
+    The query is one literal array, looked up by bucket: a row-local sum without any shuffle.  Rows
+    without a common bucket, or without any token, score 0.
     """
-    weight = F.get(F.array(*[F.lit(float(x)) for x in query]), F.col("bucket"))
-    dots = vectors.groupBy(key).agg(F.sum(F.col("weight") / F.col("norm") * weight).alias("score"))
-    return docs.select(key).join(dots, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+    wanted = F.lit([float(x) for x in query])
+
+    def dot(vector: Column) -> Column:
+        total = F.aggregate(vector, F.lit(0.0), lambda s, e: s + e["weight"] * F.get(wanted, e["bucket"]))
+        return F.when(F.size(vector) > 0, total / sparse_norm(vector)).otherwise(F.lit(0.0))
+
+    return df.select(key, once(sparse_vector(F.col(text)), dot).alias("score"))
 
 
-def _passes(queries: list[tuple], size: int) -> list[list[tuple]]:
-    per_pass = max(1, MAX_QUERY_VALUES // max(1, size))
-    return [queries[i : i + per_pass] for i in range(0, len(queries), per_pass)]
+def packed(df: DataFrame, key: str, vector: Column, rows: int, unit: bool) -> DataFrame:
+    """Vectors in blocks of up to ``rows``: ``ids`` and ``matrix`` (doubles, row by row); null vectors are left out."""
+    keyed = df.select(F.col(key).alias("id"), vector.alias("vec")).where(F.col("vec").isNotNull())
+    target = pa.schema([("ids", pa.list_(to_arrow_type(df.schema[key].dataType))), ("matrix", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = [], []
+
+        def block():
+            matrix = np.stack(vectors)
+            raw = (unit_rows(matrix) if unit else matrix).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([ids], target[0].type), pa.array([raw], pa.binary())], schema=target)
+
+        for batch in batches:
+            for name, vec in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids.append(name)
+                vectors.append(vec.values.to_numpy(zero_copy_only=False).astype("float64"))
+                if len(ids) == rows:
+                    yield block()
+                    ids, vectors = [], []
+        if ids:
+            yield block()
+
+    return keyed.mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(df.schema[key].dataType)), T.StructField("matrix", T.BinaryType())]))
+
+
+class BestRows:
+    """The best ``k`` rows of every query seen so far, equal scores by the smaller id."""
+
+    def __init__(self, k: int, n: int):
+        self.k = k
+        self.found = [(np.empty(0), np.empty(0), np.empty(0, object)) for _ in range(n)]
+        self.least = np.full(n, -np.inf)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, compared: np.ndarray) -> None:
+        for j in np.flatnonzero(compared.max(axis=0) >= self.least):
+            new = np.flatnonzero(compared[:, j] >= self.least[j])
+            parts = (compared[new, j], scores[new, j], ids[new])
+            order_by, score, rows = (np.concatenate(x) for x in zip(self.found[j], parts))
+            best = np.lexsort((rows, -order_by))[: self.k]
+            self.found[j] = order_by[best], score[best], rows[best]
+            if len(best) == self.k:
+                self.least[j] = order_by[best[-1]]
+
+
+#: Queries of one block: their numbers, and the results a task holds for them.
+MAX_HELD_ROWS = 4_000_000
+VECTOR_ROWS = 1024
 
 
 def retrieve(
     df: DataFrame,
     vector: Column,
-    queries: list[tuple[object, list[float]]],
+    queries: DataFrame | list[tuple[object, list[float]]],
     k: int,
     *,
     row_id: str,
     query_id: str = "query_id",
+    query_vector: Column | None = None,
     cosine: bool = False,
     digits: int | None = None,
     fan_in: int = topk.FAN_IN,
 ) -> DataFrame:
     """Best ``k`` rows per query by exact inner product; ties by ``row_id``.
 
-    Each Arrow batch is one matrix product against all queries of the pass and gives
-    up only its own best ``k`` rows per query, which cannot lose a row of the global
-    best ``k``.  The pruned rows then go through the distributed top-K.  ``cosine``
-    scales rows to unit length in double precision first.  ``digits`` compares rounded
-    scores, so that floating-point noise cannot order equal rows.
+    ``queries`` is a table (``query_id`` and the column ``query_vector``) or a list.  It is packed into
+    blocks that Spark sends to the tasks; each meets blocks of vectors in one matrix product, and the best ``k`` of
+    every query live across all batches of a task, which gives up only these.  So at most tasks x
+    queries x k rows are shuffled, whatever ``k``.  With several blocks of queries the vectors are computed once and
+    written to the shared folder.  ``cosine`` scales rows and queries to unit length in double precision first.  ``digits``
+    compares rounded scores, so that floating-point noise cannot order equal rows.
     """
-    id_type = df.schema[row_id].dataType
-    keyed = df.select(F.col(row_id), vector.alias("_vec")).where(F.col("_vec").isNotNull())
+    spark = df.sparkSession
+    if not isinstance(queries, DataFrame):
+        kind = "string" if isinstance(queries[0][0], str) else "bigint"
+        queries = spark.createDataFrame([(i, list(map(float, v))) for i, v in queries], f"{query_id} {kind}, _query array<double>")
+        query_vector = F.col("_query")
+    first = queries.select(F.size(query_vector).alias("n")).where("n > 0").first()
+    size = first.n if first else 1
+    per_block = max(1, min(MAX_QUERY_VALUES // size, MAX_HELD_ROWS // max(1, k)))
+    spread = queries.repartition(max(1, -(-queries.count() // per_block)))
+    blocks = packed(spread, query_id, query_vector, per_block, cosine).withColumn("block", F.monotonically_increasing_id())
+    folder = f"{shared_dir(spark)}/retrieve-{uuid.uuid4().hex}"
+    blocks.write.parquet(f"{folder}/queries")
+    blocks = spark.read.parquet(f"{folder}/queries")
+    names = [r.block for r in blocks.select("block").collect()]
+    vectors = packed(df, row_id, vector, VECTOR_ROWS, cosine)
+    if len(names) > 1:  # read once per block of queries, computed once
+        vectors.write.parquet(f"{folder}/vectors")
+        vectors = spark.read.parquet(f"{folder}/vectors")
+
     schema = T.StructType(
         [
-            T.StructField(query_id, T.StringType() if isinstance(queries[0][0], str) else T.LongType()),
-            T.StructField(row_id, id_type),
+            T.StructField(query_id, queries.schema[query_id].dataType),
+            T.StructField(row_id, df.schema[row_id].dataType),
             T.StructField("score", T.DoubleType()),
             T.StructField("_compared", T.DoubleType()),
         ]
     )
+    target = to_arrow_schema(schema)
 
-    def scorer(ids: list, matrix: np.ndarray):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                vectors = np.stack(pdf["_vec"].to_numpy()).astype("float64")
-                scores = (unit_rows(vectors) if cosine else vectors) @ matrix
-                compared = scores if digits is None else np.round(scores, digits)
-                rows = pdf[row_id].to_numpy()
-                for j, query in enumerate(ids):
-                    best = np.lexsort((rows, -compared[:, j]))[:k]
-                    yield pd.DataFrame(
-                        {
-                            query_id: query,
-                            row_id: rows[best],
-                            "score": scores[best, j],
-                            "_compared": compared[best, j],
-                        }
-                    )
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, wanted, matrix = None, None, None
+        for batch in batches:
+            for ids, raw, query_ids, query_raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if best is None:
+                    wanted, matrix = query_ids, np.frombuffer(query_raw).reshape(len(query_ids), -1).T
+                    best = BestRows(k, len(wanted))
+                scores = np.frombuffer(raw).reshape(len(ids), -1) @ matrix
+                best.add(np.array(ids, object), scores, scores if digits is None else np.round(scores, digits))
+        for name, (compared, score, rows) in zip(wanted or [], best.found if best else []):
+            if len(rows):
+                columns = [pa.array([name] * len(rows), target[0].type), pa.array(rows.tolist(), target[1].type), pa.array(score), pa.array(compared)]
+                yield pa.RecordBatch.from_arrays(columns, schema=target)
 
     parts = []
-    for part in _passes(queries, len(queries[0][1])):
-        matrix = np.asarray([q[1] for q in part], dtype="float64").T
-        parts.append(keyed.mapInPandas(scorer([q[0] for q in part], matrix), schema))
+    for name in names:
+        one = F.broadcast(blocks.where(F.col("block") == name).select(F.col("ids").alias("_ids"), F.col("matrix").alias("_matrix")))
+        parts.append(vectors.crossJoin(one).mapInArrow(run, schema))  # one row of queries: a block, not pairs
+    if not parts:
+        return spark.createDataFrame([], schema).drop("_compared")
     found = reduce(DataFrame.unionByName, parts)
     return topk.top_k(found, k, topk.score_order("_compared", row_id), [query_id], fan_in).drop("_compared")
 

@@ -41,22 +41,18 @@ def _(spark, sf):
 
 @query("norm_of_vector", f"WITH {_DOCS} SELECT doc AS doc_id, round(norm, 6) AS norm FROM n")
 def _(spark, sf):
-    vectors = R.hash_buckets(documents(spark, sf), "doc_id", "text")
-    return R.vector_norms(vectors, "doc_id").select("doc_id", r6("norm").alias("norm"))
+    return R.vector_norms(documents(spark, sf), "doc_id", "text").select("doc_id", r6("norm").alias("norm"))
 
 
 @query(
     "embed_column",
-    f"WITH {_DOCS} SELECT d.doc_id, coalesce(count(bucket), 0) AS n_buckets, coalesce(max(abs(weight)), 0)::DOUBLE / any_value(norm) >= 0.999 AS one_bucket FROM documents d LEFT JOIN w ON w.doc = d.doc_id LEFT JOIN n ON n.doc = d.doc_id GROUP BY d.doc_id",
+    f"WITH {_DOCS} SELECT w.doc AS doc_id, bucket, CAST(weight AS INTEGER) AS weight, 1.0::DOUBLE AS length FROM w",
 )
 def _(spark, sf):
-    docs = documents(spark, sf).select("doc_id", R.embed_column(F.col("text")).alias("v"))
-    used = F.filter("v", lambda x: x != 0)
-    return docs.select(
-        "doc_id",
-        F.size(used).cast("long").alias("n_buckets"),
-        (F.array_max(F.transform(used, F.abs)) >= 0.999).alias("one_bucket"),
-    )
+    """Every weight by a caller's encoder (plain counts, so exact), and the length of the default encoder's vectors."""
+    unit = F.aggregate(R.embed_column(F.col("text")), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    docs = documents(spark, sf).select("doc_id", F.round(F.sqrt(unit), 5).alias("length"), F.posexplode(R.embed_column(F.col("text"), R.load_hash_counts)).alias("bucket", "x"))
+    return docs.where("x <> 0").select("doc_id", "bucket", F.col("x").cast("int").alias("weight"), "length")
 
 
 @query(
@@ -67,11 +63,9 @@ SELECT d.doc_id, round(coalesce(s.score, 0), 6) AS score FROM documents d LEFT J
   ON s.doc = d.doc_id""",
 )
 def _(spark, sf):
-    docs = documents(spark, sf)
     wanted = R.hash_vectors([QUERY_TEXT]).astype("float64")[0]
     wanted = wanted / (wanted @ wanted) ** 0.5
-    vectors = R.hash_buckets(docs, "doc_id", "text")
-    return R.cosine_sparse(docs, "doc_id", vectors, wanted.tolist()).withColumn("score", r6("score"))
+    return R.cosine_sparse(documents(spark, sf), "doc_id", "text", wanted.tolist()).withColumn("score", r6("score"))
 
 
 @query(
@@ -82,13 +76,10 @@ s AS (SELECT q_w.doc AS query_id, w.doc AS doc_id, sum(w.weight / n.norm * q_w.w
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 5) DESC, doc_id) AS place FROM s) WHERE place <= 5""",
 )
 def _(spark, sf):
-    # the queries are job texts: configuration, embedded on the driver and sent with the plan
-    items = table(spark, sf, "benchmark").collect()
-    vectors = R.unit_rows(R.hash_counts([r["text"] for r in items]).astype("float64"))
-    queries = [(r["item_id"], v.tolist()) for r, v in zip(items, vectors)]
     docs = documents(spark, sf).select("doc_id", "text")
     vector = R.embed_column(F.col("text"), R.load_hash_counts)
-    found = R.retrieve(docs, vector, queries, 5, row_id="doc_id", cosine=True, digits=5)
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = R.retrieve(docs, vector, queries, 5, row_id="doc_id", query_vector=vector, cosine=True, digits=5)
     return found.select("query_id", "doc_id", r6("score").alias("score"))
 
 
@@ -97,22 +88,30 @@ _CENTROIDS = "c AS (SELECT label AS query_id, [" + ", ".join(
 ) + "] AS q FROM embeddings GROUP BY label)"
 
 
-@query(
-    "inner_product_topk",
-    f"""WITH {_CENTROIDS}, s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2])) AS score FROM embeddings CROSS JOIN c)
-SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 20""",
-)
-def _(spark, sf):
+def _nearest_sql(k: int) -> str:
+    return f"""WITH {_CENTROIDS}, s AS (SELECT query_id, vec_id, list_sum(list_transform(list_zip(embedding, q), lambda z: z[1]::DOUBLE * z[2])) AS score FROM embeddings CROSS JOIN c)
+SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, vec_id) AS place FROM s) WHERE place <= {k}"""
+
+
+def _nearest(spark, sf, k: int):
     rows = table(spark, sf, "embeddings")
-    dims = 64
-    means = rows.groupBy("label").agg(
-        F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(dims)]).alias("q")
-    )
-    queries = [(int(r["label"]), list(r["q"])) for r in means.collect()]  # one vector per label
-    found = R.retrieve(rows, F.col("embedding"), queries, 20, row_id="vec_id")
+    mean = F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(64)])
+    queries = rows.groupBy(F.col("label").alias("query_id")).agg(mean.alias("q"))  # a table of one vector per label
+    found = R.retrieve(rows, F.col("embedding"), queries, k, row_id="vec_id", query_vector=F.col("q"), digits=8)
     return found.select("query_id", "vec_id", r6("score").alias("score"))
 
 
+@query("inner_product_topk", _nearest_sql(20))
+def _(spark, sf):
+    return _nearest(spark, sf, 20)
+
+
+@query("inner_product_top5000", _nearest_sql(5000))
+def _(spark, sf):
+    """As many rows per query as the funnel's first cut keeps."""
+    return _nearest(spark, sf, 5000)
+
+
 @query(
     "inner_product_single",
     f"""WITH c AS (SELECT [{", ".join(f"avg(embedding[{i + 1}]::DOUBLE)" for i in range(64))}] AS q FROM embeddings),

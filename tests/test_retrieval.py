@@ -39,6 +39,42 @@ def test_matches_brute_force_over_several_passes(spark, monkeypatch):
     assert [r["id"] for r in one] == np.argsort(-(data @ wanted[0]))[:4].tolist()
 
 
+def test_best_rows_live_across_batches():
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.normal(size=(500, 3)), 1)  # many ties
+    ids = np.array([f"r{i:03d}" for i in rng.permutation(500)], object)
+    best = R.BestRows(40, 3)
+    for at in range(0, 500, 7):
+        best.add(ids[at : at + 7], scores[at : at + 7], scores[at : at + 7])
+    for j, (compared, _, rows) in enumerate(best.found):
+        order = sorted(range(500), key=lambda i: (-scores[i, j], ids[i]))[:40]
+        assert rows.tolist() == ids[order].tolist() and compared.tolist() == scores[order, j].tolist()
+
+
+def test_query_table_in_blocks_gives_up_k_rows_per_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "MAX_HELD_ROWS", 60)
+    monkeypatch.setattr(R, "VECTOR_ROWS", 16)
+    rng = np.random.default_rng(6)
+    data, wanted = rng.integers(-3, 4, (600, 6)).astype(float), rng.integers(-3, 4, (11, 6)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)] + [(999, None)], "id long, v array<double>").repartition(4)
+    table = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(wanted)], "name string, q array<double>")
+    found = R.retrieve(df, F.col("v"), table, 20, row_id="id", query_id="name", query_vector=F.col("q"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["name"], set()).add((r["id"], r["score"]))
+    for i, q in enumerate(wanted):
+        scores = data @ q
+        order = sorted(range(600), key=lambda j: (-scores[j], j))[:20]
+        assert got[f"q{i}"] == {(j, scores[j]) for j in order}
+
+
+def test_sparse_vectors_are_row_local(spark):
+    df = spark.createDataFrame([(1, "A a b  c"), (2, ""), (3, None)], "id int, text string")
+    for plan in (R.hash_buckets(df, "id", "text"), R.vector_norms(df, "id", "text"), R.cosine_sparse(df, "id", "text", [1.0] * 384)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["score"] for r in R.cosine_sparse(df, "id", "text", [0.0] * 384).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
 def test_replies(spark):
     texts = ['{"name":"Ada"}', "not-json", '```json\n{"name":"Bo"}\n```', '{"other":1}', '{"name": 5}', "```", "[1]"]
     df = spark.createDataFrame([(t,) for t in texts], "content string")
