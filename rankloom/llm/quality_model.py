@@ -185,10 +185,11 @@ def score(docs: DataFrame, machine: Machine, least: float = 0.3) -> DataFrame:
     """Score and prediction of every document."""
     bound_batches(docs.sparkSession)
     # of fixed size: FEATURES * (FACTORS + 1) floats
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    # plain arrays: executors need no copy of the package
+    shared = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors))
 
     def run(batches):
-        make, model = Vectors(), shared.value
+        make, model = Vectors(), Machine(*shared.value)
         for ids, raws, chars, held in batches:
             for doc_id, raw, n, h in zip(ids, raws, chars, held):
                 p = model.score(*make(raw, n))

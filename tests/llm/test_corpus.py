@@ -299,3 +299,66 @@ def test_pipeline_takes_unusual_rows(spark, nasty, empty):
             columns, docs = docs.columns, stage(spark, docs, "")
             assert docs.columns == columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Repeated and null ids: rows, not ids, are kept or dropped."""
+    z = " ".join(f"word{i}" for i in range(60))
+    w = " ".join(f"other{i}" for i in range(60))
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(5, z), (5, w), (3, w + " tail"), (5, w + " tail two"), (None, w + " nul"), (9, w), (None, w), (None, w)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows] + [(None, None, "en", "s", None), (None, None, "de", "s", None), (7, None, "en", "s", None), (8, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, columns).repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.drop_copies(spark, docs, "").collect()]
+    want = [rows[0], rows[2], *rows[8:]]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
+def test_kept_rows_equal_brute_force(spark, nasty):
+    rows = [tuple(r) for r in nasty.collect()]
+    kept = [tuple(r) for r in corpus_pipeline.drop_copies(spark, nasty, "").collect()]
+    assert not Counter(map(repr, kept)) - Counter(map(repr, rows))
+    sets = [frozenset(zip(*[(r[1] or "").encode().split()[i:] for i in range(5)])) or tuple((r[1] or "").encode().split()) for r in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            alike = a == b if isinstance(a, tuple) or isinstance(b, tuple) else len(a & b) >= 0.8 * len(a | b)
+            if a and alike:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0, len(r[1] or ""), r[1] or "")
+        least[root(i)] = min(least.get(root(i), key), key)
+    got = Counter((r[0] is None, r[0] or 0, len(r[1] or ""), r[1] or "") for r in kept)
+    assert got == Counter(least.values())
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Started elsewhere, with the repository on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+sys.path.insert(0, {top!r})
+import __spark_entry__ as entry
+queries = entry.queries()
+for name in sorted(queries):
+    if name.startswith("op"):
+        print(name, queries[name](spark, "/root/testdata/sf0.001").count(), flush=True)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert done.stdout.count("op") >= 13

@@ -52,6 +52,8 @@ def test_order_never_changes_the_verdict(nasty):
     a = quality_rules.report(nasty, list(quality_rules.RULES)).select("doc_id", "kept")
     b = quality_rules.report(nasty, list(quality_rules.RULES)[::-1]).select("doc_id", "kept")
     assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    reports = [sorted(map(repr, quality_rules.report(nasty, order).collect())) for order in (None, list(quality_rules.RULES), list(quality_rules.RULES)[::-1])]
+    assert reports[0] == reports[1] == reports[2]  # the cascade's order changes nothing
     assert sorted(quality_rules.rule_order(nasty)) == sorted(quality_rules.RULES)
 
 
