@@ -28,18 +28,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies: of each class the document of least id stays (rows that repeat it go too).
+    """Near copies: one row of each class stays, whatever ids the rows have.
 
-    Null and empty texts are in no class and stay; of rows that share a class and the least
-    id, or have none, one stays: the one of the least (length, text).
+    It is the row of least id (rows without one last), then of the shortest and least text.  Texts without words,
+    null ones too, are in no class and all stay.  Rows that equal it in id and text go like other copies.
     """
-    classes = near_copies.near_copies(docs).select("doc_id", "class_id").distinct()
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # ids are unique in a sound table; where they are not, equal texts under one id leave one row
-    row = F.struct(*docs.columns)
-    alike = kept.groupBy("doc_id", F.xxhash64("text").alias("_h")).agg(F.min(row).alias("_r"))
-    return alike.select("_r.*")
+    # every row gets a number, written down once; classes are told by it, as ids may be null or repeated
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = stored(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    classes = near_copies.near_copies(plain.select(F.col("row").alias("doc_id"), text.alias("text"))).select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(doc_id.isNull(), doc_id, F.length(text), F.sha2(text.cast("binary"), 256), F.xxhash64(*names), F.col("row"))
+    ranked = plain.select("row", order.alias("place")).join(classes, "row").groupBy("class_id").agg(F.min("place").alias("first"))
+    return plain.join(ranked.select(F.col("first.row").alias("row")), "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoding: ids (little-endian unsigned 32-bit), their number, and whether decoding them and
-    encoding the decoded tokens' texts leads back (it does, save for a fault)."""
+    """Encoding: ids (little-endian unsigned 32-bit), their number, and digests of the ids and of the text decoded from them."""
     coded = bpe.encode_documents(docs, vocabulary_path(VOCABULARY), keep=("doc_id", "source"))
     return coded.select(
         "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
