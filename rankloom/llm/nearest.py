@@ -3,7 +3,9 @@
 Vectors are dealt to shards by hash.  Each shard becomes a hierarchical graph in flat
 neighbour arrays (one table row per shard): on every level a node links to a diverse choice
 of its nearest nodes on that level, and back.  Queries enter at the top level and walk with
-a beam; the shards' results are scored again in double precision and merged.
+a beam; the shards' results are scored again in double precision and merged.  How wide the beam
+must be depends on the vectors: every shard doubles it until the walks of ``PROBES`` of its own
+nodes find ``RECALL`` of their exact neighbours, or until the beam holds the whole shard.
 
 Inner products are made navigable by one more coordinate that gives all vectors of a shard the
 same norm, so that the largest product is the nearest point.  A shard holds vectors of one norm
@@ -12,7 +14,8 @@ apart; links are chosen in double precision, and every query searches all bands.
 
 Equal vectors are one node with its smallest ids (as many as one result can hold), found by
 ranking in Spark, so a vector that a third of the rows share is never gathered.  Shards hold
-``SHARD_ROWS`` nodes and query blocks ``QUERY_ROWS`` queries, whatever the table's size.
+``SHARD_ROWS`` nodes and query blocks ``QUERY_ROWS`` queries, whatever the table's size.  A task
+loads a graph once and streams up to ``LANE_BLOCKS`` blocks of queries past it.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and
 rows without an id, take no part; repeated rows count once; only vectors of the query's
@@ -34,12 +37,15 @@ by_value(__name__)
 
 LINKS = 16  # per node on upper levels; twice as many on the lowest
 CANDIDATES = 64  # nearest nodes that links are chosen from
-BEAM = 160
-WIDTH = 4  # beam nodes expanded at once
+BEAM = 160  # to begin with
+RECALL = 0.97  # of a shard's probes, that its beam is widened for
+PROBES = 128
+EXPANDED = 16  # a walk expands one in so many of the beam's nodes at once
 SHARD_ROWS = 32_768
 MIN_SHARDS = 8
 BAND = 4  # octaves of norm in one shard
 QUERY_ROWS = 1024
+LANE_BLOCKS = 64
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -108,7 +114,7 @@ def build(points: np.ndarray, seed: int = 3) -> list[tuple[np.ndarray, np.ndarra
 
 def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries at once; nodes (-1 for none) and products, best first."""
-    q, n, width = len(queries), len(points), min(WIDTH, beam)
+    q, n, width = len(queries), len(points), max(1, beam // EXPANDED)
     rows = np.arange(q)[:, None]
     seen = np.zeros((q, n + 1), bool)  # the last column takes what stands for no node
     seen[:, n] = True
@@ -128,7 +134,7 @@ def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.
     live = np.arange(q)
     while len(live):
         open_sims = np.where(done[live], -np.inf, sims[live])
-        best = np.argsort(-open_sims, axis=1)[:, :width]
+        best = np.argpartition(-open_sims, width - 1, axis=1)[:, :width]
         active = np.take_along_axis(open_sims, best, 1) > -np.inf
         some = active.any(axis=1)
         live, best, active = live[some], best[some], active[some]
@@ -146,11 +152,12 @@ def walk(points: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.
         all_ids = np.concatenate([ids[live], new], axis=1)
         all_sims = np.concatenate([sims[live], s], axis=1)
         all_done = np.concatenate([done[live], new < 0], axis=1)
-        order = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+        order = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[live] = np.take_along_axis(all_ids, order, 1)
         sims[live] = np.take_along_axis(all_sims, order, 1)
         done[live] = np.take_along_axis(all_done, order, 1)
-    return ids, sims
+    order = np.argsort(-sims, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
 def search(points: np.ndarray, levels: list, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -167,6 +174,25 @@ def search(points: np.ndarray, levels: list, queries: np.ndarray, beam: int = BE
     return nodes
 
 
+def measured_beam(points: np.ndarray, levels: list, k: int, target: float = RECALL, probes: int = PROBES) -> int:
+    """The beam at which walks find ``target`` of the ``k`` exact neighbours of the shard's probes."""
+    n = len(points)
+    some = np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int))
+    # a query has no part in the coordinate that evens out norms
+    queries = points[some].copy()
+    queries[:, -1] = 0.0
+    sims, k = queries @ points.T, min(k, n)
+    least = np.partition(sims, n - k, axis=1)[:, n - k]
+    beam = min(n, max(BEAM, k))
+    while beam < n:
+        found = search(points, levels, queries, beam)
+        near = np.where(found >= 0, np.take_along_axis(sims, found, 1), -np.inf)
+        if np.minimum((near >= least[:, None]).sum(axis=1), k).mean() >= target * k:
+            break
+        beam = min(n, 2 * beam)
+    return beam
+
+
 # ---------------------------------------------------------------- Spark
 
 
@@ -201,11 +227,12 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
         more = np.sqrt(np.maximum(0.0, squares.max() - squares))
         points = np.column_stack([scaled, more]) / math.sqrt(squares.max())
         levels = build(points)
+        beam = measured_beam(points.astype(np.float32), levels, k)
         ids = pdf["ids"].tolist()
         flat = [x.astype("<i4").tobytes() for level in levels for x in level]
         return pd.DataFrame(
             {
-                "dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "vectors": [exact.astype("<f8").tobytes()],
+                "dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "beam": [beam], "vectors": [exact.astype("<f8").tobytes()],
                 "points": [points.astype("<f4").tobytes()], "levels": [flat], "sizes": [[len(x) for x in ids]],
                 "ids": [np.concatenate([np.asarray(x, "<i8") for x in ids]).tobytes()],
             }
@@ -214,44 +241,56 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
     placed = nodes.join(F.broadcast(spark.createDataFrame(bands, "band int, first int, parts int")), "band")
     shard = F.col("first") + F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
     graphs = placed.withColumn("shard", shard).groupBy("dim", "shard").applyInPandas(
-        index, "dim int, shard int, vectors binary, points binary, levels array<binary>, sizes array<int>, ids binary"
+        index, "dim int, shard int, beam int, vectors binary, points binary, levels array<binary>, sizes array<int>, ids binary"
     )
     graphs = stored(graphs, "nearest-graphs")
 
     queries = rows.where("query").select("id", "v", F.size("v").alias("dim"))
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // QUERY_ROWS))
-    packed = queries.groupBy("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    packed = packed.select("dim", F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))).alias("shard"), "block", "q")
+    lanes = -(-blocks // LANE_BLOCKS)
+    packed = queries.groupBy("dim", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"))
+    packed = packed.agg(F.collect_list("id").alias("own"), F.flatten(F.collect_list("v")).alias("qs"))
+    # every shard's graph once for each lane, and after it the lane's blocks of queries
+    lane = F.pmod(F.col("block"), F.lit(lanes))
+    graphs = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("block", F.lit(-1))
+    met = packed.withColumn("lane", lane).join(graphs.select("dim", "shard").distinct(), "dim")
+    columns = ["dim", "shard", "lane", "block"]
+    streams = graphs.unionByName(met, allowMissingColumns=True)
+    streams = streams.repartition(max(shards * lanes, 1), *columns[:3]).sortWithinPartitions(*columns)
 
     def find(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                exact = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
-                points = np.frombuffer(row["points"], "<f4").reshape(len(exact), dim + 1)
-                flat = [np.frombuffer(x, "<i4") for x in row["levels"]]
-                levels = [(m, x.reshape(len(m), -1)) for m, x in zip(flat[::2], flat[1::2])]
-                sizes = np.array(row["sizes"])
-                firsts, all_ids = np.cumsum(sizes) - sizes, np.frombuffer(row["ids"], "<i8")
-                own, qs = np.array([x["id"] for x in row["q"]]), np.array([x["v"] for x in row["q"]], np.float64)
-                for at in range(0, len(qs), 128):
-                    part = qs[at : at + 128]
+            for i in range(batch.num_rows):
+                at = lambda name: batch.column(name)[i]
+                dim = at("dim").as_py()
+                if at("block").as_py() < 0:
+                    exact = np.frombuffer(at("vectors").as_py(), "<f8").reshape(-1, dim)
+                    points = np.frombuffer(at("points").as_py(), "<f4").reshape(len(exact), dim + 1)
+                    flat = [np.frombuffer(x, "<i4") for x in at("levels").as_py()]
+                    levels = [(m, x.reshape(len(m), -1)) for m, x in zip(flat[::2], flat[1::2])]
+                    sizes, beam = np.array(at("sizes").as_py()), at("beam").as_py()
+                    firsts, all_ids = np.cumsum(sizes) - sizes, np.frombuffer(at("ids").as_py(), "<i8")
+                    continue
+                own = at("own").values.to_numpy()
+                qs = at("qs").values.to_numpy().reshape(len(own), dim)
+                for first in range(0, len(qs), 128):
+                    part = qs[first : first + 128]
                     unit = part / np.abs(part).max(axis=1, keepdims=True)
                     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                    nodes = search(points, levels, np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32))
-                    for i, found in enumerate(nodes):
+                    nodes = search(points, levels, np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32), beam)
+                    for j, found in enumerate(nodes):
                         found = found[found >= 0]
-                        scores = (exact[found] * part[i]).sum(axis=1)
+                        scores = (exact[found] * part[j]).sum(axis=1)
                         best = found[np.argsort(-scores, kind="stable")[: 4 * k]]
                         scores = np.sort(scores)[::-1][: 4 * k]
                         ids = np.concatenate([all_ids[firsts[x] : firsts[x] + sizes[x]] for x in best])
                         scores = np.repeat(scores, sizes[best])
-                        other = ids != own[at + i]
+                        other = ids != own[first + j]
                         ids, scores = ids[other], scores[other]
                         order = np.lexsort((ids, -scores))[:k]
                         if len(order):
-                            yield own[at + i], ids[order], scores[order]
+                            yield own[first + j], ids[order], scores[order]
 
     schema = "query_id long, vec_id long, score double"
 
@@ -261,8 +300,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20, row_id: str = "vec_i
         for q, ids, scores in find(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
 
-    pairs = packed.join(graphs, ["dim", "shard"]).repartition("shard", "block")
-    found = pairs.mapInArrow(run, schema)
+    found = streams.mapInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

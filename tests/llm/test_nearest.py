@@ -39,6 +39,26 @@ def test_recall_on_the_table(spark):
     assert all(abs(exact[q].get(v, s) - s) < 1e-9 for q, g in got.items() for v, s in g)
 
 
+def test_full_shard_of_unclustered_vectors():
+    rng = np.random.default_rng(8)
+    exact = rng.normal(size=(nearest.SHARD_ROWS, 64))
+    norms = (exact * exact).sum(axis=1)
+    points = (np.column_stack([exact, np.sqrt(norms.max() - norms)]) / np.sqrt(norms.max())).astype(np.float32)
+    levels = nearest.build(points)
+    beam = nearest.measured_beam(points, levels, 20)
+    assert beam > nearest.BEAM
+    some = rng.choice(len(exact), 200, replace=False)
+    queries = exact[some] / np.linalg.norm(exact[some], axis=1, keepdims=True)
+    found = nearest.search(points, levels, np.column_stack([queries, np.zeros(200)]).astype(np.float32), beam)
+    hits = 0
+    for q, nodes, own in zip(queries, found, some):
+        s = exact @ q
+        s[own] = -np.inf
+        got = [x for x in nodes if x != own][:20]
+        hits += len(set(got) & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
+
+
 def test_unequal_norms_and_unusual_rows(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=8) * rng.uniform(0.1, 5)).tolist()) for i in range(600)]
