@@ -172,3 +172,23 @@ def report(docs: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, kept boolean, rejected_by string",
     )
+
+
+#: The report in SQL: the same rules over measures taken from all words, lines and characters.
+SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT r, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM s),
+g AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+covered AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY r),
+m AS (SELECT s.r, doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaims,
+    length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g')) AS n_upper, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM s LEFT JOIN covered ON covered.r = s.r),
+v AS (SELECT *, CASE WHEN n_words < 50 THEN 'few_words' WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated_windows'
+    WHEN 10 * n_symbols > n_words THEN 'symbols' WHEN 5 * n_exclaims > n_words THEN 'exclaims'
+    WHEN 10 * n_upper > 3 * word_chars THEN 'shouting' WHEN n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines THEN 'repeated_lines'
+    WHEN NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words) THEN 'word_length' END AS rejected_by FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, rejected_by IS NULL AS kept, rejected_by FROM v"""

@@ -94,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 ORACLE: dict[str, str] = {
+    "op10_quality_rules": quality_rules.SQL,
     "op12_divergence": divergence.SQL,
     "op13_centroids": centroids.oracle_sql(),
 }
