@@ -297,17 +297,46 @@ def retrieve_one(df: DataFrame, vector: Column, query: list[float], k: int, *, r
 # ---------------------------------------------------------------------------
 
 
-def token_overlap_join(docs: DataFrame, key: str, token_set: Column, terms: DataFrame) -> DataFrame:
+#: A token that stands for more than one in so many token rows is hot; there are fewer than this many of them.
+HOT_SHARE = 1000
+#: Token rows of a hot token that one join key takes.
+KEY_ROWS = 100_000
+
+
+def dealt_tokens(docs: DataFrame, key: str, token_set: Column, terms: DataFrame, hot_share: int, key_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Token rows of documents (``key, token, _part``) and term rows repeated for each part of their token."""
+    spark = docs.sparkSession
+    words = docs.select(key, token_set.alias("_set")).select(key, F.xxhash64(key, "_set").alias("_h"), F.explode("_set").alias("token"))
+    path = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    counted = words.groupBy("token").agg(F.count("*").alias("n"))
+    counted.join(terms.select("token").distinct(), "token", "left_semi").write.parquet(path)
+    counted = spark.read.parquet(path)
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = counted.where((F.col("n") > key_rows) & (F.col("n") * hot_share > F.lit(total))).collect()
+    n = F.lit(1).cast("long")
+    if hot:
+        known = F.create_map(*[F.lit(x) for r in hot for x in (r["token"], -(-r["n"] // key_rows))])
+        n = F.coalesce(F.try_element_at(known, F.col("token")).cast("long"), n)
+    dealt = words.select(key, "token", F.pmod("_h", n).cast("int").alias("_part"))
+    return dealt, terms.withColumn("_part", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
+
+
+def token_overlap_join(
+    docs: DataFrame, key: str, token_set: Column, terms: DataFrame, hot_share: int = HOT_SHARE, key_rows: int = KEY_ROWS
+) -> DataFrame:
     """Share of each term's tokens found in each document: ``(key, jd_id, term, coverage)``.
 
-    ``terms`` has ``jd_id, term, token, n_tokens``, one row per term token.  The join
-    is an equi-join on the token; a hot token is split by adaptive skew handling or
-    avoided by the broadcast that Spark picks for a small term table.  Pairs without
-    any common token do not appear.
+    ``terms`` has ``jd_id, term, token, n_tokens``, one row per term token.  The join is an equi-join on the
+    token and a part.  Token rows are counted first, combined before the shuffle; the rows of a hot token (more than
+    ``key_rows``, and more than one in ``hot_share`` of the rows of all terms' tokens) are dealt to parts of about
+    ``key_rows``, and its terms are repeated for each.  So a token that every document holds is no hot key.  The counts
+    run when the join is called; the parts are a literal map of fewer than ``hot_share`` entries.  Documents with a null key count as one; pairs without any
+    common token do not appear.
     """
-    words = docs.select(key, F.explode(token_set).alias("token"))
+    wanted = terms.select("token").distinct()
+    dealt, repeated = dealt_tokens(docs, key, token_set, terms, hot_share, key_rows)
     return (
-        words.join(terms, "token")
+        dealt.join(repeated, ["token", "_part"])
         .groupBy(key, "jd_id", "term")
         .agg((F.count("*") / F.first("n_tokens")).alias("coverage"))
     )

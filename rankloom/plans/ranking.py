@@ -198,10 +198,20 @@ def named_by_line(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: v for c, v in named.items() if c in rows.columns})
 
 
-def raw_backfill(best: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def raw_backfill(best: DataFrame, source: DataFrame, keys: list[str], columns: list[str], max_keys: int = MAX_CUT_IDS) -> DataFrame:
     """Fetch wide columns for a shortlist by key instead of carrying them through top-K.
 
-    The shortlist has at most K rows per job, so Spark's own size check picks the
-    broadcast; the source keeps its partitioning and is only filtered.
+    The shortlist is written to the shared folder at once, so it is computed once and its size is known.  Its
+    distinct keys are counted and, up to ``max_keys`` of them, filter the source by a broadcast before any row of it
+    moves; only rows that the shortlist names meet it.  With more keys Spark joins the source as it joins any table.
+    Null keys have no rows; a key that repeats in the source gives one row for each.
     """
-    return source.select(*keys, *columns).join(best, keys, "inner")
+    spark = best.sparkSession
+    path = f"{shared_dir(spark)}/backfill-{uuid.uuid4().hex}"
+    best.write.parquet(path)
+    best = spark.read.schema(best.schema).parquet(path)
+    named = best.select(*keys).distinct()
+    rows = source.select(*keys, *columns)
+    if named.count() <= max_keys:
+        rows = rows.join(F.broadcast(named), keys, "left_semi")
+    return rows.join(best, keys, "inner")

@@ -99,3 +99,44 @@ def test_the_later_reply_explains_last(spark):
     ranked = spark.createDataFrame([("a",), ("b",), ("c",)], "candidate_id string")
     rows = {r["candidate_id"]: r["explanation"] for r in reports.explanation_lookup(ranked, notes, "pos").collect()}
     assert (rows["a"]["summary"], rows["b"]["summary"], rows["c"]) == ("late", "first", None)
+
+
+def overlap_rows(n):
+    return [(i, ["every", f"word{i % 7}", f"own{i}"]) for i in range(n)] + [(n, []), (n + 1, None), (None, ["every"])]
+
+
+def test_token_overlap_of_a_token_in_every_text(spark):
+    terms = [("j1", "every word3", "every", 2), ("j1", "every word3", "word3", 2), ("j2", "own5", "own5", 1), ("j2", "none", "none", 1)]
+    docs = spark.createDataFrame(overlap_rows(400), "id long, tokens array<string>")
+    table = spark.createDataFrame(terms, "jd_id string, term string, token string, n_tokens int")
+    want = {}
+    for key, tokens in overlap_rows(400):
+        for jd, term, token, n in terms:
+            if token in (tokens or []):
+                want[key, jd, term] = want.get((key, jd, term), 0) + 1 / n
+    for key_rows in (20, 100_000):
+        got = R.token_overlap_join(docs, "id", F.col("tokens"), table, key_rows=key_rows).collect()
+        assert {(r.id, r.jd_id, r.term): r.coverage for r in got} == want and len(got) == len(want)
+    dealt, repeated = R.dealt_tokens(docs, "id", F.col("tokens"), table, 1000, 20)
+    sizes = [r["count"] for r in dealt.where("token in ('every', 'word3', 'own5')").groupBy("token", "_part").count().collect()]
+    assert max(sizes) <= 60 and sum(sizes) > 400
+    assert repeated.where("token = 'every'").count() == 21
+    none = spark.createDataFrame([], table.schema)
+    assert R.token_overlap_join(docs, "id", F.col("tokens"), none).count() == 0
+
+
+def test_backfill_moves_no_row_that_the_shortlist_does_not_name(spark):
+    from rankloom.plans.ranking import raw_backfill
+
+    source = spark.range(1000).select(F.col("id").alias("key"), F.concat(F.lit("text"), "id").alias("raw"))
+    best = spark.createDataFrame([("a", 1), ("a", 5), ("b", 5), ("b", None), ("b", 5000)], "jd_id string, key long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = raw_backfill(best, source, ["key"], ["raw"])
+        assert sorted((r.jd_id, r.raw) for r in found.collect()) == [("a", "text1"), ("a", "text5"), ("b", "text5")]
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")  # the filter is below the join
+        everything = raw_backfill(best, source, ["key"], ["raw"], max_keys=1)
+        assert everything.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
