@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import text as X
 from rankloom.jobs import compiled
 from rankloom.operators import retrieval as R
+from rankloom.operators.keywords import keyword_contains_join
 from rankloom.plans import oracle as O
 from rankloom.plans.fixtures import JD_DOC
 from rankloom.plans.queries.registry import documents, documents_scored, query, r6, table
@@ -170,7 +171,24 @@ def _(spark, sf):
     f"SELECT p_partkey, k AS keyword FROM part CROSS JOIN (SELECT unnest({O._list(KEYWORDS)}) AS k) WHERE contains(p_name, k)",
 )
 def _(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", "p_name", F.explode(X.words(KEYWORDS)).alias("keyword"))
-    return rows.where(F.contains("p_name", "keyword")).select("p_partkey", "keyword")
+    return keyword_contains_join(table(spark, sf, "part"), "p_name", KEYWORDS, ["p_partkey"])
 
 
+# letter triples of all benchmark texts: some thousand keywords, a table
+_TRIPLES = "SELECT DISTINCT unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS keyword FROM benchmark"
+
+
+@query(
+    "keyword_contains_many",
+    f"""WITH k AS ({_TRIPLES})
+SELECT doc_id, count(*) AS n_keywords, min(keyword) AS first_keyword, max(keyword) AS last_keyword FROM documents JOIN k ON contains(text, keyword) GROUP BY doc_id""",
+)
+def _(spark, sf):
+    """Thousands of keywords, taken from one table, in all texts of another."""
+    last = F.length("text") - 2
+    starts = table(spark, sf, "benchmark").where(last >= 1).select("text", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    triples = starts.select(F.substring("text", F.col("i"), F.lit(3)).alias("keyword")).distinct()
+    found = keyword_contains_join(documents(spark, sf), "text", triples, ["doc_id"])
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("n_keywords"), F.min("keyword").alias("first_keyword"), F.max("keyword").alias("last_keyword")
+    )
