@@ -248,3 +248,42 @@ def _(spark, sf):
     state, checkpoint = scratch(spark, "shortlist"), scratch(spark, "checkpoint")
     arrivals.keep_running_topk(_arriving(spark, sf), state, checkpoint, k=50).awaitTermination()
     return arrivals.current_shortlist(spark, state).select("jd_id", "candidate_id", "composite_score")
+
+
+def _damaged(spark, sf):
+    """JSONL files in which the records of every tenth candidate lack their last character."""
+    path = scratch(spark, "damaged")
+    ends = F.endswith(F.get_json_object("raw", "$.candidate_id"), F.lit("3"))
+    raw = F.when(ends, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw"))
+    candidates_json(spark, sf).select(raw.alias("value")).write.text(path)
+    return path
+
+
+def _rank_damaged(spark, sf) -> tuple[str, str]:
+    state, rejects = scratch(spark, "shortlist"), scratch(spark, "rejects")
+    jobs, paths = CANDIDATE_JOBS, schema_map(spark, sf)
+    options = {"rejects": rejects, "k": 50, "max_files": 4}
+    arrivals.rank_arrivals(spark, _damaged(spark, sf), jobs, paths, state, scratch(spark, "checkpoint"), **options).awaitTermination()
+    return state, rejects
+
+
+@query(
+    "stream_rejects",
+    O.on_candidates("SELECT candidate_id FROM cand WHERE candidate_id LIKE '%3'", "cand"),
+)
+def _(spark, sf):
+    """Malformed lines of a stream, from the side table."""
+    lines = arrivals.rejected_lines(spark, _rank_damaged(spark, sf)[1])
+    return lines.select(F.regexp_extract("raw", '"candidate_id":"([^"]*)"', 1).alias("candidate_id"))
+
+
+@query(
+    "stream_shortlist",
+    O.on_candidates(
+        "SELECT jd_id, candidate_id, composite_score FROM (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY composite_score DESC, candidate_id) AS place FROM scored WHERE candidate_id NOT LIKE '%3') WHERE place <= 50",
+        "scored",
+    ),
+)
+def _(spark, sf):
+    """The shortlist of the same stream's sound lines."""
+    return arrivals.current_shortlist(spark, _rank_damaged(spark, sf)[0]).select("jd_id", "candidate_id", "composite_score")
