@@ -45,7 +45,8 @@ class JobSpec:
     schema_notes: tuple[str, ...] = ()
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        years = self.experience_years_min
+        return {**asdict(self), "experience_years_min": None if years is None else float(years)}
 
 
 JOB_SCHEMA = T.StructType(

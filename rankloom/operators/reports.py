@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom import constants as C
+from rankloom.jobs import JOB_SCHEMA, JobSpec
 from rankloom.operators import topk
 from rankloom.operators.reasons import add_reasoning
 
@@ -87,11 +88,41 @@ def explanation_lookup(ranked: DataFrame, explanations: DataFrame, position: str
     return ranked.join(last, "candidate_id", "left")
 
 
+PAYLOAD_FIELDS = (
+    "candidate_id",
+    "display_name",
+    "composite_score",
+    "breakdown",
+    "matched_skills",
+    "missing_skills",
+    "strengths",
+    "concerns",
+    "integrity_flags",
+)
+
+
+def _payload() -> Column:
+    return F.struct(*PAYLOAD_FIELDS, F.col("reasoning").alias("scoring_reasoning"))
+
+
 def explanation_payload(details: DataFrame) -> DataFrame:
     """Request rows for an explanation service: one compact JSON text per row."""
-    fields = (
-        "candidate_id display_name composite_score breakdown matched_skills missing_skills "
-        "strengths concerns integrity_flags"
-    ).split()
-    body = F.struct(*fields, F.col("reasoning").alias("scoring_reasoning"))
-    return details.select("jd_id", "candidate_id", F.to_json(body).alias("payload"))
+    return details.select("jd_id", "candidate_id", F.to_json(_payload()).alias("payload"))
+
+
+def explanation_requests(details: DataFrame, jobs: list[JobSpec], k: int = C.TOP_K_EXPORT) -> DataFrame:
+    """One request per job: ``jd_id, n_candidates, request``, the job and its best ``k`` rows in order, as compact JSON.
+
+    ``details`` are ranked rows with details; reasons are written for the kept rows only.  A job without rows has a request with an empty list.  The job
+    record is a literal (null fields stay), so the only shuffle moves at most ``k`` rows per job, and a request holds at most ``k`` of them.
+    """
+    spark = details.sparkSession
+    order = topk.score_order()
+    best = add_reasoning(topk.rank_rows(topk.top_k(details, k, order, ["jd_id"]), ["jd_id"], order))
+    listed = best.groupBy("jd_id").agg(F.array_sort(F.collect_list(F.struct("rank", _payload().alias("body")))).alias("_rows"))
+    known = spark.createDataFrame([{"jd_id": j.jd_id, "_job": j.as_dict()} for j in jobs], f"jd_id string, _job {JOB_SCHEMA.simpleString()}")
+    rows = known.join(listed, "jd_id", "left")
+    rows = rows.withColumn("_rows", F.coalesce("_rows", F.array().cast(listed.schema["_rows"].dataType)))
+    body = F.struct(F.col("_job").alias("jd_intelligence"), F.transform("_rows", lambda r: r["body"]).alias("ranked_candidates"))
+    request = F.to_json(body, {"ignoreNullFields": "false"})
+    return rows.select("jd_id", F.size("_rows").cast("long").alias("n_candidates"), request.alias("request"))

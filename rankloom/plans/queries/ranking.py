@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from rankloom import constants as C
 from rankloom.functions.numeric import once
 from rankloom.operators import reasons, reports, topk
 from rankloom.plans import oracle as O
+from rankloom.plans.fixtures import CANDIDATE_JOBS
 from rankloom.plans.queries.registry import (
     candidates,
     candidates_json,
@@ -17,11 +20,12 @@ from rankloom.plans.queries.registry import (
     profiles,
     query,
     ranked,
+    scratch,
     scored,
     scored_star,
     table,
 )
-from rankloom.plans.ranking import keep_best, rank, raw_backfill
+from rankloom.plans.ranking import keep_best, rank, raw_backfill, write_ranking
 
 _TOP = "(SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY composite_score DESC, candidate_id) AS place FROM {0}) WHERE place <= {1}"
 
@@ -182,6 +186,15 @@ def _(spark, sf):
     return reports.counts(scored(spark, sf), 500)
 
 
+@query(
+    "counts_observed",
+    O.on_candidates("SELECT jd_id, count(*) AS n_read, count(*) AS n_scored, least(count(*), 500) AS n_kept FROM scored GROUP BY jd_id", "scored"),
+)
+def _(spark, sf):
+    """Counts met while the ranking is written, without a pass of their own."""
+    return write_ranking(profiles(spark, sf), CANDIDATE_JOBS, scratch(spark, "ranking"))
+
+
 def _funnel_sql(first: int, second: int, last: int) -> str:
     return O.on_candidates(
         f""", cut1 AS (SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY round(lexical_relevance, 12) DESC, candidate_id) AS p1 FROM scored),
@@ -194,8 +207,6 @@ SELECT jd_id, candidate_id, composite_score FROM cut2 WHERE p2 <= {min(second, l
 def _funnel(spark, sf, first: int, second: int, last: int):
     from rankloom.functions import text as X
     from rankloom.jobs import job_literal
-    from rankloom.plans.fixtures import CANDIDATE_JOBS
-
     # the cheap score of the first cut needs the tokens and nothing else; every job has its own
     def cheap(tokens):
         scores = [(F.lit(j.jd_id), 2 * F.round(X.keyword_density(tokens, job_literal(j)["lexical"]), 12) - 1) for j in CANDIDATE_JOBS]
@@ -248,12 +259,42 @@ def _(spark, sf):
     return rows.select("jd_id", "candidate_id", F.md5("explanation.summary").alias("summary"))
 
 
-@query("explanation_payload")
+# the same fields in the same order; both writers print doubles of two digits alike
+_PAYLOAD = (
+    "{'candidate_id': candidate_id, 'display_name': display_name, 'composite_score': composite_score, 'breakdown': {"
+    + ", ".join(f"'{n}': b_{n}" for n in C.BREAKDOWN)
+    + "}, 'matched_skills': matched, 'missing_skills': missing, 'strengths': strengths, 'concerns': concerns, "
+    "'integrity_flags': integrity_flags, 'scoring_reasoning': evidence_reason}"
+)
+
+
+@query(
+    "explanation_payload",
+    O.on_candidates(f"SELECT jd_id, candidate_id, CAST(to_json({_PAYLOAD}) AS VARCHAR) AS payload FROM rs WHERE rank <= {C.TOP_K_EXPORT}"),
+)
 def _(spark, sf):
     best = topk.top_k(ranked(spark, sf), C.TOP_K_EXPORT, topk.score_order(), ["jd_id"])
     return reports.explanation_payload(reasons.add_reasoning(best))
 
 
+_JOB_RECORDS = ", ".join(
+    "('{}', '{}')".format(j.jd_id, json.dumps(j.as_dict(), ensure_ascii=False, separators=(",", ":")).replace("'", "''"))
+    for j in CANDIDATE_JOBS
+)
+
+
+@query(
+    "explanation_requests",
+    O.on_candidates(
+        f""", j(jd_id, job) AS (VALUES {_JOB_RECORDS}),
+best AS (SELECT jd_id, count(*) AS n, string_agg(CAST(to_json({_PAYLOAD}) AS VARCHAR), ',' ORDER BY rank) AS rows FROM rs WHERE rank <= {C.TOP_K_EXPORT} GROUP BY jd_id)
+SELECT j.jd_id, coalesce(n, 0) AS n_candidates, '{{"jd_intelligence":' || job || ',"ranked_candidates":[' || coalesce(rows, '') || ']}}' AS request FROM j LEFT JOIN best ON best.jd_id = j.jd_id"""
+    ),
+)
+def _(spark, sf):
+    return reports.explanation_requests(ranked(spark, sf), CANDIDATE_JOBS)
+
+
 # ---------------------------------------------------------------------------
 # reasons
 # ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,6 +123,40 @@ def rank(
     )
 
 
+def write_ranking(
+    profiles: DataFrame,
+    jobs: JobSpec | list[JobSpec],
+    path: str,
+    *,
+    k: int = C.TOP_K_FEATURES,
+    tie_break: str = topk.BY_ID,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Write the best ``k`` rows per job as Parquet and return what the one job met on its way.
+
+    ``jd_id, n_read, n_scored, n_kept``: profiles read, rows scored for the job, rows written for it; zeros for a job without
+    rows, in the order of ``jobs``.  The counts are metrics observed on the scan, the scores and the cut while the ranking is written, so
+    they cost no second pass and no shuffle.  Tasks that Spark runs again after losing an executor are counted again;
+    ``reports.counts`` gives counts that bear this, at the price of a pass.
+    """
+    jobs = [jobs] if isinstance(jobs, JobSpec) else list(jobs)
+    spark = profiles.sparkSession
+    read, met, kept = (Observation(f"{name}-{uuid.uuid4().hex}") for name in ("read", "scored", "kept"))
+
+    def per_job() -> list:
+        return [F.count_if(F.col("jd_id") == F.lit(j.jd_id)).alias(f"n{i}") for i, j in enumerate(jobs)]
+
+    if not jobs:
+        keep_best(score_all(profiles, jobs), k, tie_break, keep).write.mode("overwrite").parquet(path)
+        return spark.createDataFrame([], "jd_id string, n_read long, n_scored long, n_kept long")
+    scored = score_all(profiles.observe(read, F.count(F.lit(1)).alias("n")), jobs).observe(met, *per_job())
+    best = keep_best(scored, k, tie_break, keep).observe(kept, *per_job())
+    best.write.mode("overwrite").parquet(path)
+    n_read, n_met, n_kept = read.get["n"], met.get, kept.get
+    rows = [(j.jd_id, n_read, n_met[f"n{i}"], n_kept[f"n{i}"]) for i, j in enumerate(jobs)]
+    return spark.createDataFrame(rows, "jd_id string, n_read long, n_scored long, n_kept long")
+
+
 def rank_table(
     df: DataFrame,
     record: list[str],
