@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +22,8 @@ from rankloom.operators import topk
 from rankloom.session import shared_dir
 
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+SPARSE = "array<struct<bucket:int,weight:double>>"
+DIMS = C.EMBEDDING_DIMS  # a plain number: tasks need no copy of the constants
 MAX_QUERY_VALUES = 1_000_000  # numbers in one block of queries (8 MB)
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -36,14 +37,24 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ---------------------------------------------------------------------------
 
 
-def sparse_vector(text: Column, dims: int = C.EMBEDDING_DIMS) -> Column:
+def sparse_vector(text: Column, dims: int = DIMS) -> Column:
     """Hashed-token vector of a text as ``array<struct<bucket, weight>>`` without zeros; one projection, no shuffle.
 
-    Bucket and sign come from the SHA-256 of each white-space token; weights are whole numbers.
+    Bucket and sign come from the SHA-256 of each white-space token; weights are whole numbers.  Only
+    what is not zero leaves the Python task.
     """
-    counts = embed_column(text, load_hash_counts)
-    listed = F.transform(counts, lambda x, i: F.struct(i.alias("bucket"), x.cast("double").alias("weight")))
-    return F.filter(listed, lambda e: e["weight"] != 0)
+
+    @F.arrow_udf(SPARSE)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        places = Places(dims)
+        for batch in batches:
+            counts = hash_counts([x or "" for x in batch.to_pylist()], dims, places)
+            row, bucket = np.nonzero(counts)
+            firsts = np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32)
+            entries = [pa.array(bucket.astype(np.int32)), pa.array(counts[row, bucket].astype(np.float64))]
+            yield pa.ListArray.from_arrays(pa.array(firsts), pa.StructArray.from_arrays(entries, ["bucket", "weight"]))
+
+    return encode(text)
 
 
 def sparse_norm(vector: Column) -> Column:
@@ -51,10 +62,12 @@ def sparse_norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
 
 
-def hash_buckets(df: DataFrame, key: str, text: str, dims: int = C.EMBEDDING_DIMS) -> DataFrame:
+def hash_buckets(df: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
     """Sparse hashed-token vectors as rows: ``(key, bucket, weight, norm)``, zeros left out; nothing is shuffled."""
     vectors = df.select(key, sparse_vector(F.col(text), dims).alias("_v"))
-    return vectors.select(key, sparse_norm(F.col("_v")).alias("norm"), F.inline("_v")).select(key, "bucket", "weight", "norm")
+    # the norm has a projection of its own below the generator, else every entry computes it again
+    normed = vectors.select(key, "_v", sparse_norm(F.col("_v")).alias("norm"))
+    return normed.select(key, "norm", F.inline("_v")).select(key, "bucket", "weight", "norm")
 
 
 def vector_norms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -78,7 +91,7 @@ class Places(dict):
         return place
 
 
-def hash_counts(texts: list[str], dims: int = C.EMBEDDING_DIMS, places: Places | None = None) -> np.ndarray:
+def hash_counts(texts: list[str], dims: int = DIMS, places: Places | None = None) -> np.ndarray:
     """Signed token counts per bucket for one Arrow batch; whole numbers, so exact."""
     places = Places(dims) if places is None else places
     out = np.zeros((len(texts), dims), dtype="float32")
@@ -90,8 +103,8 @@ def hash_counts(texts: list[str], dims: int = C.EMBEDDING_DIMS, places: Places |
 
 def load_hash_counts() -> Encoder:
     """Loader for ``embed_column`` that leaves the counts unscaled."""
-    places = Places(C.EMBEDDING_DIMS)
-    return lambda texts: hash_counts(texts, C.EMBEDDING_DIMS, places)
+    places = Places(DIMS)
+    return lambda texts: hash_counts(texts, DIMS, places)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -100,7 +113,7 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
-def hash_vectors(texts: list[str], dims: int = C.EMBEDDING_DIMS) -> np.ndarray:
+def hash_vectors(texts: list[str], dims: int = DIMS) -> np.ndarray:
     """Dense unit vectors of hashed tokens; zero stays zero."""
     return unit_rows(hash_counts(texts, dims))
 
@@ -123,12 +136,13 @@ def embed_column(text: Column, load: Callable[[], Encoder] | None = None) -> Col
     """
     load = load and load_or_none(load)
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = hash_vectors if load is None else load()
         for batch in batches:
-            vectors = encoder(batch.fillna("").tolist())
-            yield pd.Series(list(np.asarray(vectors, dtype="float32")), index=batch.index)
+            vectors = np.asarray(encoder([x or "" for x in batch.to_pylist()]), dtype="float32")
+            firsts = np.arange(len(batch) + 1, dtype=np.int32) * (vectors.shape[1] if len(batch) else 0)
+            yield pa.ListArray.from_arrays(pa.array(firsts), pa.array(vectors.ravel()))
 
     return encode(text)
 

@@ -52,7 +52,9 @@ def _(spark, sf):
 def _(spark, sf):
     """Every weight by a caller's encoder (plain counts, so exact), and the length of the default encoder's vectors."""
     unit = F.aggregate(R.embed_column(F.col("text")), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    docs = documents(spark, sf).select("doc_id", F.round(F.sqrt(unit), 5).alias("length"), F.posexplode(R.embed_column(F.col("text"), R.load_hash_counts)).alias("bucket", "x"))
+    # both vectors are computed below the generator, else every entry of one computes the other again
+    both = documents(spark, sf).select("doc_id", F.round(F.sqrt(unit), 5).alias("length"), R.embed_column(F.col("text"), R.load_hash_counts).alias("_v"))
+    docs = both.select("doc_id", "length", F.posexplode("_v").alias("bucket", "x"))
     return docs.where("x <> 0").select("doc_id", "bucket", F.col("x").cast("int").alias("weight"), "length")
 
 

@@ -140,3 +140,25 @@ def test_backfill_moves_no_row_that_the_shortlist_does_not_name(spark):
         assert everything.count() == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _above_generator(df) -> str:
+    """The optimized plan's lines above its generator: what runs once for each entry of a vector."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("Generate ")]
+
+
+def test_vectors_and_norms_are_computed_once_a_row(spark, tmp_path):
+    from rankloom.plans.queries import QUERIES
+
+    rows = [(1, "a b a c"), (2, None), (3, ""), (4, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("embed_column", "hash_embedding"):
+        df = QUERIES[name](spark, str(tmp_path))
+        top = _above_generator(df)
+        assert "aggregate(" not in top and "encode(" not in top and "Eval" not in top
+    counts = {i: R.hash_counts([t or ""])[0] for i, t in rows}
+    got = {(r["doc_id"], r["bucket"]): (r["weight"], r["length"]) for r in QUERIES["embed_column"](spark, str(tmp_path)).collect()}
+    assert got == {(i, b): (int(v[b]), 1.0) for i, v in counts.items() for b in np.flatnonzero(v)}
+    got = {(r["doc_id"], r["bucket"]): r["weight"] for r in QUERIES["hash_embedding"](spark, str(tmp_path)).collect()}
+    assert got == {(i, b): round(float(v[b]) / float((v * v).sum()) ** 0.5, 6) for i, v in counts.items() for b in np.flatnonzero(v)}
