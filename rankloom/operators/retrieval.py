@@ -320,11 +320,14 @@ KEY_ROWS = 100_000
 def dealt_tokens(docs: DataFrame, key: str, token_set: Column, terms: DataFrame, hot_share: int, key_rows: int) -> tuple[DataFrame, DataFrame]:
     """Token rows of documents (``key, token, _part``) and term rows repeated for each part of their token."""
     spark = docs.sparkSession
-    words = docs.select(key, token_set.alias("_set")).select(key, F.xxhash64(key, "_set").alias("_h"), F.explode("_set").alias("token"))
-    path = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    # the hash has a projection of its own below the generator, else every token hashes the whole set again
+    sets = docs.select(key, token_set.alias("_set")).select(key, F.xxhash64(key, "_set").alias("_h"), "_set")
+    path = f"{shared_dir(spark)}/token-rows-{uuid.uuid4().hex}"
+    rows = sets.select(key, "_h", F.explode("_set").alias("token"))
+    # texts are read once: only rows of tokens that some term holds go on
+    rows.join(terms.select("token").distinct(), "token", "left_semi").select(key, "_h", "token").write.parquet(path)
+    words = spark.read.parquet(path)
     counted = words.groupBy("token").agg(F.count("*").alias("n"))
-    counted.join(terms.select("token").distinct(), "token", "left_semi").write.parquet(path)
-    counted = spark.read.parquet(path)
     total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
     hot = counted.where((F.col("n") > key_rows) & (F.col("n") * hot_share > F.lit(total))).collect()
     n = F.lit(1).cast("long")
@@ -341,13 +344,12 @@ def token_overlap_join(
     """Share of each term's tokens found in each document: ``(key, jd_id, term, coverage)``.
 
     ``terms`` has ``jd_id, term, token, n_tokens``, one row per term token.  The join is an equi-join on the
-    token and a part.  Token rows are counted first, combined before the shuffle; the rows of a hot token (more than
+    token and a part.  Token rows that some term holds are written once to the shared folder and counted, combined before the shuffle; the rows of a hot token (more than
     ``key_rows``, and more than one in ``hot_share`` of the rows of all terms' tokens) are dealt to parts of about
     ``key_rows``, and its terms are repeated for each.  So a token that every document holds is no hot key.  The counts
     run when the join is called; the parts are a literal map of fewer than ``hot_share`` entries.  Documents with a null key count as one; pairs without any
     common token do not appear.
     """
-    wanted = terms.select("token").distinct()
     dealt, repeated = dealt_tokens(docs, key, token_set, terms, hot_share, key_rows)
     return (
         dealt.join(repeated, ["token", "_part"])

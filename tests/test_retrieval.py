@@ -162,3 +162,11 @@ def test_vectors_and_norms_are_computed_once_a_row(spark, tmp_path):
     assert got == {(i, b): (int(v[b]), 1.0) for i, v in counts.items() for b in np.flatnonzero(v)}
     got = {(r["doc_id"], r["bucket"]): r["weight"] for r in QUERIES["hash_embedding"](spark, str(tmp_path)).collect()}
     assert got == {(i, b): round(float(v[b]) / float((v * v).sum()) ** 0.5, 6) for i, v in counts.items() for b in np.flatnonzero(v)}
+
+
+def test_token_rows_of_no_term_are_not_kept(spark):
+    docs = spark.createDataFrame(overlap_rows(50), "id long, tokens array<string>")
+    table = spark.createDataFrame([("j", "word3", "word3", 1)], "jd_id string, term string, token string, n_tokens int")
+    dealt, _ = R.dealt_tokens(docs, "id", F.col("tokens"), table, 1000, 20)
+    assert [r.token for r in dealt.select("token").distinct().collect()] == ["word3"] and dealt.count() == 7
+    assert "Generate" not in dealt._jdf.queryExecution().optimizedPlan().toString()  # texts are not read again
