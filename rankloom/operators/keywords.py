@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -56,7 +57,7 @@ def automaton(words: list[str]):
 
 
 def keyword_contains_join(
-    df: DataFrame, text: str | Column, keywords: DataFrame | list[str], keep: list[str], max_bytes: int = MAX_KEYWORD_BYTES
+    df: DataFrame, text: str | Column, keywords: DataFrame | list[str], keep: list[str], max_bytes: int = MAX_KEYWORD_BYTES, *, lists: bool = False
 ) -> DataFrame:
     """``keep``, ``keyword``: a row for each input row and each distinct keyword that its text contains.
 
@@ -65,46 +66,53 @@ def keyword_contains_join(
     automaton once; a text is read once per block, not once per keyword, and nothing is shuffled.  Input rows stay where they are, so
     repeated rows give repeated results.  Null texts and null keywords match nothing, the empty keyword is in every text
     that is not null.  Without keywords or rows the result is empty.  Only ``keep`` columns travel to Python; the column
-    names ``keyword`` and ``_text`` are taken.
+    names ``keyword`` and ``_text`` are taken.  With ``lists`` the rows of one input row and one block come as one, with all their
+    keywords as an array ``keyword``.
     """
     clash = {"keyword", "_text"} & set(keep)
     if clash:
         raise ValueError(f"column names {sorted(clash)} are taken")
     spark = df.sparkSession
     rows = df.select(*keep, (F.col(text) if isinstance(text, str) else text).cast("string").alias("_text"))
-    schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in keep), T.StructField("keyword", T.StringType())])
+    schema = T.StructType([*(T.StructField(c, rows.schema[c].dataType) for c in keep), T.StructField("keyword", T.ArrayType(T.StringType()) if lists else T.StringType())])
     out = None
     for words in keyword_blocks(keywords, max_bytes):
-        part = rows.where(F.col("_text").isNotNull()).mapInArrow(matcher(spark.sparkContext.broadcast(words), schema), schema)
+        part = rows.where(F.col("_text").isNotNull()).mapInArrow(matcher(spark.sparkContext.broadcast(words), schema, lists), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def matcher(shared, schema: T.StructType):
+def matcher(shared, schema: T.StructType, lists: bool = False):
     """The function of one Python task: batches of ``keep`` and ``_text`` in, matches out."""
     target = to_arrow_schema(schema)
 
-    def flush(batch: pa.RecordBatch, places: list[int], found: list[str]) -> pa.RecordBatch:
-        kept = batch.take(pa.array(places, pa.int64()))
+    def flush(batch: pa.RecordBatch, sizes: list[tuple[int, int]], found: list[int], words: pa.Array) -> pa.RecordBatch:
+        rows, n = np.array(sizes, np.int64).reshape(-1, 2).T
+        taken = words.take(pa.array(found, pa.int64()))
+        if lists:
+            firsts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            taken = pa.ListArray.from_arrays(pa.array(firsts), taken)
+        kept = batch.take(pa.array(rows if lists else np.repeat(rows, n)))
         columns = [kept.column(i).cast(target[i].type) for i in range(len(target) - 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(found, target[-1].type)], schema=target)
+        return pa.RecordBatch.from_arrays([*columns, taken.cast(target[-1].type)], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         trie = automaton(words)
-        always = [w for w in words if not w]
+        always = [i for i, w in enumerate(words) if not w]
+        known = pa.array(words, pa.string())
         for batch in batches:
-            places, found = [], []
+            sizes, found = [], []
             for row, value in enumerate(batch.column(batch.num_columns - 1)):
-                text = value.as_py()
-                hits = {i for _, i in trie.iter(text)} if trie is not None else ()
-                places.extend([row] * (len(hits) + len(always)))
-                found.extend(words[i] for i in hits)
-                found.extend(always)
+                hits = {i for _, i in trie.iter(value.as_py())} if trie is not None else ()
+                if hits or always:
+                    sizes.append((row, len(hits) + len(always)))
+                    found.extend(hits)
+                    found.extend(always)
                 if len(found) >= BATCH_ROWS:
-                    yield flush(batch, places, found)
-                    places, found = [], []
+                    yield flush(batch, sizes, found, known)
+                    sizes, found = [], []
             if found:
-                yield flush(batch, places, found)
+                yield flush(batch, sizes, found, known)
 
     return run

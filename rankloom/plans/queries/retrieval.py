@@ -190,7 +190,8 @@ def _(spark, sf):
     last = F.length("text") - 2
     starts = table(spark, sf, "benchmark").where(last >= 1).select("text", F.explode(F.sequence(F.lit(1), last)).alias("i"))
     triples = starts.select(F.substring("text", F.col("i"), F.lit(3)).alias("keyword")).distinct()
-    found = keyword_contains_join(documents(spark, sf), "text", triples, ["doc_id"])
+    # one row a text leaves the tasks, not one a keyword
+    found = keyword_contains_join(documents(spark, sf), "text", triples, ["doc_id"], lists=True)
     return found.groupBy("doc_id").agg(
-        F.count("*").alias("n_keywords"), F.min("keyword").alias("first_keyword"), F.max("keyword").alias("last_keyword")
+        F.sum(F.size("keyword")).alias("n_keywords"), F.min(F.array_min("keyword")).alias("first_keyword"), F.max(F.array_max("keyword")).alias("last_keyword")
     )

@@ -55,3 +55,12 @@ def test_blocks_are_bounded():
     blocks = list(keyword_blocks([f"w{i:04d}" for i in range(100)] + ["x" * 500], 60))
     assert sum(map(len, blocks)) == 101
     assert all(len(b) == 1 or sum(len(w) + 1 for w in b) <= 60 for b in blocks)
+
+
+def test_lists_hold_the_same_keywords_in_one_row_a_text(spark):
+    texts = spark.createDataFrame(list(enumerate(NASTY)) + [(4, "aaaa")], "i int, text string")
+    for words in (WORDS, [w for w in WORDS if w], [None], []):
+        flat = found(keyword_contains_join(texts, "text", words, ["i"]))
+        rows = keyword_contains_join(texts, "text", words, ["i"], lists=True).collect()
+        assert sorted((r.i, w) for r in rows for w in r.keyword) == flat
+        assert len(rows) <= texts.count() and all(r.keyword for r in rows)
