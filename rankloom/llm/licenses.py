@@ -20,8 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Words: digits, a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+def outside(*ranges: tuple[int, int]) -> str:
+    """Runs of characters outside of ASCII ranges, each character named: Java looks those up in one table, and tries ranges one by one."""
+    return "[^" + "".join(f"\\x{c:02X}" for low, high in ranges for c in range(low, high + 1)) + "]+"
+
+
+#: Words: digits, a-z and everything beyond ASCII; and the same in either case.
+WORD = outside((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+ANY_CASE = outside((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 #: Phrases of the base scan and their labels.
 PHRASES = {
@@ -97,17 +104,17 @@ def spans(found: DataFrame) -> DataFrame:
     """Merged, verified spans: text, label, base, first word, coverage."""
     key = ["doc_id", "text_hash", "template", "label", "base", "grams"]
     once = found.groupBy(*key, "diagonal", "at", "t_at").agg(F.lit(1).alias("one"))  # repeated rows vote once
-    votes = once.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("t_at").alias("held"))
-    base = votes.where("base and votes = grams").select("doc_id", "text_hash", "label", "base", F.col("diagonal").alias("start"), F.lit(1.0).alias("coverage"))
+    votes = once.groupBy(*key, "diagonal").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("t_at").alias("held"))
+    # phrases and notices take one way, so that the texts are read once: a phrase's diagonal stands alone and must hold all its k-grams
     ordered = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     near = F.col("diagonal") - F.lag("diagonal").over(ordered) <= SLACK
-    near = near & (F.col("lo") - F.lag("hi").over(ordered) <= NOTICE_K + SLACK)
-    notices = votes.where("not base").withColumn("group", F.sum(F.when(near, 0).otherwise(1)).over(ordered))
-    merged = notices.groupBy(*key, "group").agg(F.min("lo").alias("start"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+    near = ~F.col("base") & near & (F.col("lo") - F.lag("hi").over(ordered) <= NOTICE_K + SLACK)
+    grouped = votes.withColumn("group", F.sum(F.when(near, 0).otherwise(1)).over(ordered))
+    merged = grouped.groupBy(*key, "group").agg(F.min("lo").alias("start"), F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
     # each template place counts once, so a span that repeats a part gains nothing
     coverage = F.size("held") / F.col("grams")
-    notices = merged.withColumn("coverage", coverage).where(F.col("coverage") >= COVERAGE)
-    return base.unionByName(notices.select("doc_id", "text_hash", "label", "base", "start", "coverage"))
+    whole = merged.withColumn("coverage", coverage).where(F.col("coverage") >= F.when(F.col("base"), 1.0).otherwise(COVERAGE))
+    return whole.select("doc_id", "text_hash", "label", "base", "start", "coverage")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("coverage").alias("score"),
     )
-    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))).cast("long")
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY_CASE)).cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), n_words.alias("n_words"))
     out = rows.join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return out.select(

@@ -208,6 +208,11 @@ def brute_licenses(row):
     }
 
 
+def test_licenses_read_the_texts_once_for_phrases_and_notices(nasty):
+    plan = licenses.scan(nasty)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2  # the words' count and the matches
+
+
 def test_licenses(nasty, small, empty):
     for docs in (nasty, small):
         out = licenses.scan(docs)
