@@ -35,6 +35,15 @@ def counted(spark, df, key):
     return df.withColumn(key, F.udf(look, kind).asNondeterministic()(key)), seen
 
 
+def test_shortlist_of_the_lookup_is_computed_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("star", "a", 2.0), ("star", "b", 1.0), ("other", "b", 3.0), ("other", None, 1.0)], "jd_id string, candidate_id string, composite_score double")
+    rows, seen = counted(spark, rows, "jd_id")
+    monkeypatch.setattr(queries, "ranked", lambda spark, sf: rows)
+    found = QUERIES["candidate_lookup"](spark, "own").collect()
+    assert sorted(map(tuple, found)) == [("other", "b", 3.0), ("star", "b", 1.0)]
+    assert seen.value == 4
+
+
 def test_close_skills_of_many_jobs_give_the_scores_of_one_job(spark):
     rows = people(spark)
     paths = SchemaMap.from_struct(spark, rows.select(*view.RECORD).schema)
