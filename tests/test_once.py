@@ -44,6 +44,19 @@ def test_shortlist_of_the_lookup_is_computed_once(spark, monkeypatch):
     assert seen.value == 4
 
 
+def test_records_of_backfill_and_funnel_are_computed_once(spark, monkeypatch):
+    rows, seen = counted(spark, people(spark), "key")
+    paths = SchemaMap.from_struct(spark, people(spark).select(*view.RECORD).schema)
+    for module in (registry, queries):
+        monkeypatch.setattr(module, "candidates", lambda spark, sf: rows)
+    monkeypatch.setattr(registry, "schema_map", lambda spark, sf: paths)
+    filled = QUERIES["raw_backfill"](spark, "own-backfill").collect()
+    assert len(filled) == 4 * (8 + 2 * 2) and all(r.n_chars > 0 for r in filled)
+    assert seen.value == 10
+    assert len(QUERIES["funnel_narrow"](spark, "own-funnel").collect()) == 4 * 10
+    assert seen.value == 20
+
+
 def test_close_skills_of_many_jobs_give_the_scores_of_one_job(spark):
     rows = people(spark)
     paths = SchemaMap.from_struct(spark, rows.select(*view.RECORD).schema)
