@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,10 @@ from rankloom.operators import features, topk
 from rankloom.operators.profile import DEFAULT_SIGNALS_FIELD, parse_records, profiles_from_json
 from rankloom.operators.schema_map import SchemaMap
 from rankloom.plans.ranking import CARRIED, score_all
-from rankloom.sources.readers import BLANK, is_object
+from rankloom.sources.readers import BLANK, is_object, spread_small_scan
+
+#: Mark of lines that are one JSON value.
+SOUND = "_sound"
 
 
 def arriving_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -29,12 +32,17 @@ def arriving_lines(spark: SparkSession, path: str, max_files: int = 1000) -> Dat
 def sound_records(lines: DataFrame) -> DataFrame:
     """Parsed JSON objects among lines; blank lines, other JSON values and malformed lines stay out."""
     parsed = parse_records(lines.where(~F.col("raw").rlike(BLANK) & is_object(F.col("raw"))))
-    return parsed.where(F.col("v").isNotNull() & is_json(F.col("raw")))
+    return parsed.where(F.col("v").isNotNull() & _is_sound(lines))
+
+
+def _is_sound(lines: DataFrame) -> Column:
+    """Whether a line is one JSON value, as ``rank_arrivals`` has found it out before."""
+    return F.col(SOUND) if SOUND in lines.columns else is_json(F.col("raw"))
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
     """Lines that are neither blank nor one JSON value: what the batch reader's quarantine lists."""
-    return lines.where(~F.col("raw").rlike(BLANK) & ~is_json(F.col("raw")))
+    return lines.where(~F.col("raw").rlike(BLANK) & ~_is_sound(lines))
 
 
 def arriving_records(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -170,11 +178,12 @@ def rank_arrivals(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if rejects is None:
-            ranked(batch, batch_id)
+            ranked(spread_small_scan(batch), batch_id)
             return
-        batch = batch.persist(StorageLevel.DISK_ONLY)
+        # a batch of a few files must not leave the scoring to a few tasks; every line is looked at once for both tables
+        batch = spread_small_scan(batch).withColumn(SOUND, is_json(F.col("raw"))).persist(StorageLevel.DISK_ONLY)
         try:
-            bad = malformed_lines(batch).withColumn("batch", F.lit(batch_id).cast("long"))
+            bad = malformed_lines(batch).drop(SOUND).withColumn("batch", F.lit(batch_id).cast("long"))
             bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
             ranked(batch, batch_id)
         finally:

@@ -70,3 +70,19 @@ def test_close_skills_of_many_jobs_give_the_scores_of_one_job(spark):
     alone = features.add_scores(features.add_features(features.with_jobs(alone, jobs))).withColumn("jd_id", F.col("jd.jd_id"))
     assert together == apart == sorted(map(repr, alone.select(*columns).collect()))
     assert "close_skills" in features.score(profiles, jobs).columns
+
+
+def test_batch_of_one_file_is_spread_and_each_line_looked_at_once(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines = [json.dumps({"candidate_id": f"C{i}", "skills": ["ring"]}) for i in range(40)]
+    (folder / "one.jsonl").write_text("\n".join([*lines, '{"candidate_id": ', "7", "", '{"a": 1} x']))
+    partitions, real = [], arrivals.stream_scores
+    monkeypatch.setattr(arrivals, "stream_scores", lambda records, *a: partitions.append(records.rdd.getNumPartitions()) or real(records, *a))
+    schema = SchemaMap.from_json_schema(spark, {"properties": {"skills": {"type": "array"}}})
+    state, rejects = str(tmp_path / "state"), str(tmp_path / "rejects")
+    arrivals.rank_arrivals(spark, str(folder), [JobSpec(required_skills=("ring",))], schema, state, str(tmp_path / "cp"), rejects=rejects).awaitTermination()
+    assert partitions and min(partitions) >= spark.sparkContext.defaultParallelism
+    assert arrivals.current_shortlist(spark, state).count() == 40
+    bad = arrivals.rejected_lines(spark, rejects)
+    assert sorted(r.raw for r in bad.collect()) == ['{"a": 1} x', '{"candidate_id": '] and "_sound" not in spark.read.parquet(rejects).columns
