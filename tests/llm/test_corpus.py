@@ -262,6 +262,56 @@ def test_counts_of_orders_two_and_three_are_exact_and_bits_per_byte_returned(spa
     assert scored[2].bits_per_byte is None and scored[3].bits_per_byte is None
 
 
+def test_a_word_is_predicted_from_the_words_before_it(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"k{i}x b{i}" if rng.random() < 0.5 else f"k{i}y c{i}" for i in rng.integers(0, 20, 40)) for _ in range(100)]
+    rows = [*enumerate(texts), (1000, "k1x b1 k2y c2"), (1001, "k1x c2 k2y b1")]
+    scored = {r.doc_id: r for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    usual, swapped = scored[1000], scored[1001]
+    assert usual.base_score == pytest.approx(swapped.base_score) and usual.score > swapped.score + 0.5
+
+
+def test_borders_are_the_bytes_of_the_stream(nasty):
+    texts = [(r.text or "").encode().lower() for r in nasty.collect()]
+    want = Counter()
+    for n, text in enumerate(texts):
+        stream = b"\0\0"  # without the space before the coded byte
+        for word in [*text.split(), b"\n"]:
+            want[n, int.from_bytes(stream[-2:] + word[:1], "big")] += 1
+            if word != b"\n":
+                want[n, 1 << 24 | int.from_bytes(stream[-1:] + (word + b" ")[:2], "big")] += 1
+            stream += word if stream == b"\0\0" else b" " + word
+    code, doc = language_model.borders(texts)
+    assert Counter(zip(doc.tolist(), code.tolist())) == want
+
+
+@pytest.mark.parametrize("place", [0, 1])
+def test_border_counts_are_exact_and_probabilities_sum_to_at_most_one(place):
+    rng = np.random.default_rng(4)
+    code = np.array([place << 24 | x << 16 | 101 << 8 | b for x in (0, 97, 255) for b in range(256)])
+    counts = rng.integers(0, 4, len(code))
+    table = rng.integers(0, 9, 2 * int(language_model.OFFSETS[-1])).astype(float)
+    n0, n1 = language_model.nodes(counts.reshape(3, 256).astype(float))
+    for row, level, byte in [(0, 0, 0), (1, 3, 97), (2, 7, 255)]:
+        node, under = 1 << level | byte >> (8 - level), np.arange(256) >> (7 - level)
+        mine = counts.reshape(3, 256)[row]
+        assert n0[row, node] == mine[under == (byte >> (8 - level)) * 2].sum() and n1[row, node] == mine[under == (byte >> (8 - level)) * 2 + 1].sum()
+    mixer, seen = language_model.Mixer(table), counts > 0
+    language_model.Border(code[seen], counts[seen], table, True).learn(mixer)
+    p = 10 ** language_model.Border(code, counts, table, False).log10_probability(mixer).reshape(3, 256)
+    assert ((p.sum(axis=1) > 0.99) & (p.sum(axis=1) <= 1 + 1e-9)).all()
+
+
+def test_parts_of_a_block_score_as_one(small, monkeypatch):
+    def scored():
+        return sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 3)) for r in language_model.score(docs).collect())
+
+    docs = small.coalesce(1)
+    want = scored()
+    monkeypatch.setattr(language_model, "PART_BYTES", 20_000)
+    assert scored() == want
+
+
 # ------------------------------------------------------------------ pipeline
 
 
