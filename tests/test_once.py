@@ -57,6 +57,25 @@ def test_records_of_backfill_and_funnel_are_computed_once(spark, monkeypatch):
     assert seen.value == 20
 
 
+def test_every_scored_row_is_ranked_and_scored_once(spark, monkeypatch):
+    """More rows of a job than any shortlist holds; ids repeat and are null."""
+    first = people(spark)
+    paths = SchemaMap.from_struct(spark, first.select(*view.RECORD).schema)
+    number = F.col("key") + 9 * F.col("n")
+    name = F.when(number % 100 == 0, None).otherwise(F.format_string("C%03d", number % 590))
+    rows, seen = counted(spark, first.crossJoin(spark.range(70).toDF("n")).withColumn("candidate_id", name).drop("n").coalesce(4), "candidate_id")
+    for module in (registry, queries):
+        monkeypatch.setattr(module, "candidates", lambda spark, sf: rows)
+    monkeypatch.setattr(registry, "schema_map", lambda spark, sf: paths)
+    found = sorted(map(tuple, QUERIES["rank_rows"](spark, "own-ranks").collect()), key=repr)
+    assert len(found) == 4 * 700 and seen.value == 700
+    want, scores = [], [tuple(r) for r in registry.scored(spark, "own-ranks").select("jd_id", "candidate_id", "composite_score").collect()]
+    for job in {s[0] for s in scores}:
+        own = sorted((s for s in scores if s[0] == job), key=lambda s: (-s[2], s[1] or ""))
+        want += [(job, s[1], n) for n, s in enumerate(own, 1)]
+    assert found == sorted(want, key=repr)
+
+
 def test_close_skills_of_many_jobs_give_the_scores_of_one_job(spark):
     rows = people(spark)
     paths = SchemaMap.from_struct(spark, rows.select(*view.RECORD).schema)
